@@ -1,6 +1,6 @@
 """Registered queries; importing the package registers all of them."""
 
-from . import news  # noqa: F401
+from . import market, news  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]
