@@ -70,11 +70,11 @@ def members(v: Views) -> DataFrame:
     with_views(
         "px",
         body="""SELECT date, ticker AS symbol, open::DOUBLE AS open, high::DOUBLE AS high, low::DOUBLE AS low,
-  close::DOUBLE AS close, volume, turnover::DOUBLE AS turnover, round(turnover::DOUBLE / volume, 6) AS vwap FROM px""",
+  close::DOUBLE AS close, volume, turnover::DOUBLE AS turnover, turnover::DOUBLE / volume AS vwap FROM px""",
     )
 )
 def ohlcv_project(v: Views) -> DataFrame:
-    raw = v.prices().withColumn("avg_price", r6(F.col("turnover").cast("double") / F.col("volume")))
+    raw = v.prices().withColumn("avg_price", F.col("turnover").cast("double") / F.col("volume"))
     names = dict(
         zip(
             prices.OHLCV_COLUMNS,
@@ -136,7 +136,7 @@ def price_market_join(v: Views) -> DataFrame:
     with_views(
         "mkt",
         body="""SELECT sector, date, sum(market_cap)::DOUBLE AS market_cap, count(*) AS n_tickers,
-  round(avg(close::DOUBLE), 6) AS avg_close FROM mkt GROUP BY sector, date""",
+  sum(close)::DOUBLE / count(*) AS avg_close FROM mkt GROUP BY sector, date""",
     )
 )
 def sector_market_cap(v: Views) -> DataFrame:
@@ -146,7 +146,7 @@ def sector_market_cap(v: Views) -> DataFrame:
         .agg(
             F.sum("market_cap").cast("double").alias("market_cap"),
             F.count(F.lit(1)).alias("n_tickers"),
-            r6(F.avg(F.col("close").cast("double"))).alias("avg_close"),
+            (F.sum("close").cast("double") / F.count(F.lit(1))).alias("avg_close"),
         )
     )
 
@@ -251,32 +251,37 @@ def index_weights(v: Views) -> DataFrame:
     return frame.select("index_name", "ticker", *(r6(f"w_{s}") for s in WEIGHT_SCHEMES))
 
 
+# Single-name cap and limit for the three largest: the published example, and tighter ones.
 CAPS = {"wide": (0.33, 0.62), "tight": (0.14, 0.36)}
 
-
-def _capped_sql() -> str:
-    parts = []
-    for name, (cap, _) in CAPS.items():
-        parts.append(
-            f"""SELECT index_name, ticker, '{name}' AS scheme,
-  CASE WHEN {cap}::DOUBLE * n < 1 THEN 1.0::DOUBLE / n ELSE least({cap}::DOUBLE, w * s) END AS capped_weight
-FROM w JOIN (
-  SELECT index_name, min((1 - k * {cap}::DOUBLE) / rest) AS s FROM (
-    SELECT a.index_name, a.r - 1 AS k, a.w AS edge, sum(b.w) AS rest
-    FROM w a JOIN w b ON a.index_name = b.index_name AND b.r >= a.r GROUP BY 1, 2, 3)
-  WHERE k * {cap}::DOUBLE < 1 AND edge * (1 - k * {cap}::DOUBLE) / rest <= {cap}::DOUBLE + 1e-12 GROUP BY 1) USING (index_name)"""
-        )
-    return with_views(
-        "picked",
-        body=f""", w AS (
+WEIGHT_LIST_SQL = """w AS (
   SELECT index_name, ticker, w, row_number() OVER (PARTITION BY index_name ORDER BY w DESC, ticker) AS r,
          count(*) OVER (PARTITION BY index_name) AS n
-  FROM (SELECT index_name, ticker, ffmc::DOUBLE / sum(ffmc::DOUBLE) OVER (PARTITION BY index_name) AS w FROM picked))
-SELECT index_name, ticker, scheme, round(capped_weight, 6) AS capped_weight FROM ({' UNION ALL '.join(parts)})""",
-    )
+  FROM (SELECT index_name, ticker, ffmc::DOUBLE / sum(ffmc::DOUBLE) OVER (PARTITION BY index_name) AS w FROM picked)),
+tails AS (
+  SELECT a.index_name, a.r, a.w, a.n, sum(b.w) AS tail
+  FROM w a JOIN w b ON a.index_name = b.index_name AND b.r >= a.r GROUP BY 1, 2, 3, 4)"""
+# For caps in ``tried(index_name, scheme, cap, ...)``: the scale of the uncapped names.
+SCALES_SQL = """scales AS (
+  SELECT t.index_name, t.scheme, t.cap, arg_min((1 - (r - 1) * cap) / tail, r) AS s
+  FROM tried t JOIN tails USING (index_name)
+  WHERE (r - 1) * cap < 1 AND w * (1 - (r - 1) * cap) / tail <= cap + 1e-12 GROUP BY 1, 2, 3),
+filled AS (
+  SELECT t.index_name, t.scheme, t.cap, ticker, r,
+         CASE WHEN t.cap * n < 1 THEN 1.0::DOUBLE / n ELSE least(t.cap, w * s) END AS capped_weight
+  FROM tried t JOIN w USING (index_name) LEFT JOIN scales USING (index_name, scheme, cap))"""
+_CAP_ROWS = ", ".join(f"('{name}', {cap}::DOUBLE, {top}::DOUBLE)" for name, (cap, top) in CAPS.items())
 
 
-@query(_capped_sql())
+@query(
+    with_views(
+        "picked",
+        body=f""", {WEIGHT_LIST_SQL},
+tried AS (SELECT DISTINCT index_name, scheme, cap FROM w, (VALUES {_CAP_ROWS}) c(scheme, cap, top)),
+{SCALES_SQL}
+SELECT index_name, ticker, scheme, round(capped_weight, 6) AS capped_weight FROM filled""",
+    )
+)
 def capped_weights(v: Views) -> DataFrame:
     """Single-name caps at two limits."""
     weighted = indices.weights(picked(v), "ffmc").select("index_name", "ticker", "weight")
@@ -286,6 +291,37 @@ def capped_weights(v: Views) -> DataFrame:
     return out[0].unionByName(out[1]).select("index_name", "ticker", "scheme", r6("capped_weight"))
 
 
+@query(
+    with_views(
+        "picked",
+        body=f""", {WEIGHT_LIST_SQL},
+caps AS (SELECT * FROM (VALUES {_CAP_ROWS}) c(scheme, cap, top)),
+edge AS (SELECT index_name, max(w) FILTER (WHERE r = 2) AS w2, max(w) FILTER (WHERE r = 3) AS w3,
+                max(tail) FILTER (WHERE r = 2) AS s2, max(tail) FILTER (WHERE r = 3) AS s3 FROM tails GROUP BY 1),
+tried AS (
+  SELECT DISTINCT index_name, scheme, cap FROM (
+    SELECT index_name, scheme, unnest([cap, top / 3, (top - (w2 + w3) / s2) / (1 - (w2 + w3) / s2),
+                                       (top - w3 / s3) / (2 - 2 * w3 / s3)]) AS cap, cap AS limit_cap
+    FROM edge, caps) WHERE cap > 0 AND cap <= limit_cap),
+{SCALES_SQL},
+fitting AS (
+  SELECT index_name, scheme, max(f.cap) AS cap FROM (
+    SELECT index_name, scheme, cap, sum(capped_weight) FILTER (WHERE r <= 3) AS top3 FROM filled GROUP BY 1, 2, 3) f
+  JOIN caps USING (scheme) WHERE top3 <= top + 1e-9 GROUP BY 1, 2)
+SELECT index_name, ticker, scheme, round(capped_weight, 6) AS capped_weight
+FROM filled JOIN fitting USING (index_name, scheme, cap)""",
+    )
+)
+def capped_weights_top3(v: Views) -> DataFrame:
+    """Single-name caps with a limit on the three largest together."""
+    weighted = indices.weights(picked(v), "ffmc").select("index_name", "ticker", "weight")
+    out = [
+        indices.capped_weights(weighted, cap, top).withColumn("scheme", F.lit(name))
+        for name, (cap, top) in CAPS.items()
+    ]
+    return out[0].unionByName(out[1]).select("index_name", "ticker", "scheme", r6("capped_weight"))
+
+
 @query(
     with_views(
         "index_vals",
@@ -511,14 +547,14 @@ def impact_cost(v: Views) -> DataFrame:
     with_views(
         "px",
         "fund",
-        body="""SELECT p.ticker, p.date, f.quarter AS asof_date, round(f.eps, 6) AS eps
+        body="""SELECT p.ticker, p.date, f.quarter AS asof_date, f.eps
 FROM px p ASOF LEFT JOIN fund f ON p.ticker = f.ticker AND p.date >= f.quarter""",
     )
 )
 def asof_fundamentals(v: Views) -> DataFrame:
     closes = v.prices().select("ticker", "date", "close")
     out = Q.asof(closes, v.fundamentals(), ["eps"], "quarter")
-    return out.select("ticker", "date", "asof_date", r6("eps"))
+    return out.select("ticker", "date", "asof_date", "eps")
 
 
 @query(
@@ -584,7 +620,7 @@ def screen_growth_topn(v: Views) -> DataFrame:
         "fund",
         body=""", q AS (
   SELECT ticker, quarter, eps, row_number() OVER (PARTITION BY ticker ORDER BY quarter DESC) AS age FROM fund)
-SELECT a.ticker, a.quarter AS latest_quarter, round(a.eps, 6) AS latest_eps
+SELECT a.ticker, a.quarter AS latest_quarter, a.eps AS latest_eps
 FROM q a JOIN q b ON b.ticker = a.ticker AND b.age = 2 JOIN q c ON c.ticker = a.ticker AND c.age = 3
 JOIN q d ON d.ticker = a.ticker AND d.age = 4
 WHERE a.age = 1 AND a.eps > 0 AND a.eps > b.eps AND b.eps > c.eps AND c.eps > d.eps
@@ -592,7 +628,7 @@ WHERE a.age = 1 AND a.eps > 0 AND a.eps > b.eps AND b.eps > c.eps AND c.eps > d.
     )
 )
 def screen_eps_streak(v: Views) -> DataFrame:
-    return Q.screen_eps_streak(v.fundamentals()).select("ticker", "latest_quarter", r6("latest_eps"))
+    return Q.screen_eps_streak(v.fundamentals())
 
 
 # --- checks, logs, storage ------------------------------------------------------------------------------

@@ -56,7 +56,8 @@ def kinds(types: dict[str, str]) -> dict[str, str]:
 
 def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
     df = contract.queries()[name](spark, folder)
-    got = [tuple(r) for r in df.collect()]
+    columns = [c.to_pylist() for c in df.toArrow().columns]
+    got = list(zip(*columns))
     sql = contract.oracle_sql().get(name)
     if sql is None:
         return len(got) > 0, f"rows only: {len(got)}"
@@ -69,8 +70,9 @@ def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
         return False, f"types {spark_types} <> {duck_types}"
     if left == right:
         return True, f"{len(left)} rows"
-    only_left = [r for r in left if r not in set(right)][:3]
-    only_right = [r for r in right if r not in set(left)][:3]
+    in_left, in_right = set(left), set(right)
+    only_left = [r for r in left if r not in in_right][:3]
+    only_right = [r for r in right if r not in in_left][:3]
     return False, f"{len(left)} vs {len(right)} rows; spark {only_left} oracle {only_right}"
 
 
