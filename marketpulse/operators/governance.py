@@ -30,22 +30,19 @@ def retain(df: DataFrame, date_column: str, as_of: str, months: int | None) -> D
     return df.where(F.col(date_column) >= F.add_months(F.lit(as_of).cast("date"), -months))
 
 
-def write_sharded(prices: DataFrame, shards: DataFrame, path: str, spread: int = 8) -> None:
-    """Prices as a Parquet table partitioned by shard and month.
+def write_sharded(prices: DataFrame, shards: DataFrame, path: str, by_month: bool = False) -> None:
+    """Prices as a Parquet table partitioned by shard, and by month for very large ones.
 
-    A shard can hold most tickers, so files are cut by (shard, month, ticker hash), which
-    gives at most ``spread`` writers and files per directory.
+    A shard can hold most tickers. The rebalance hint lets adaptive execution cut an
+    oversized shard into several writers and merge small ones; rows are sorted inside each
+    file, so ticker and date filters skip row groups.
     """
-    month = F.date_format("date", "yyyy-MM")
-    slot = F.pmod(F.xxhash64("ticker"), F.lit(spread))
-    (
-        prices.join(shards.select("ticker", "shard_id"), "ticker")
-        .withColumns({"month": month, "__slot": slot})
-        .repartition("shard_id", "month", "__slot")
-        .drop("__slot")
-        .write.partitionBy("shard_id", "month")
-        .parquet(path)
-    )
+    folders = ["shard_id", "month"] if by_month else ["shard_id"]
+    placed = prices.join(shards.select("ticker", "shard_id"), "ticker")
+    if by_month:
+        placed = placed.withColumn("month", F.date_format("date", "yyyy-MM"))
+    balanced = placed.hint("rebalance", *folders).sortWithinPartitions(*folders, "ticker", "date")
+    balanced.write.partitionBy(*folders).parquet(path)
 
 
 def shards_of(shards: DataFrame, tickers: DataFrame) -> DataFrame:
@@ -55,7 +52,7 @@ def shards_of(shards: DataFrame, tickers: DataFrame) -> DataFrame:
 
 def read_sharded(spark: SparkSession, path: str, schema: str, shards: DataFrame) -> DataFrame:
     """Only the named shards; the semi-join prunes directories at run time."""
-    table = spark.read.schema(f"{schema}, shard_id string, month string").parquet(path)
+    table = spark.read.schema(f"{schema}, shard_id string").parquet(path)
     return table.join(shards, "shard_id", "left_semi")
 
 

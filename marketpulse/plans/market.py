@@ -619,7 +619,8 @@ def screen_growth_topn(v: Views) -> DataFrame:
     with_views(
         "fund",
         body=""", q AS (
-  SELECT ticker, quarter, eps, row_number() OVER (PARTITION BY ticker ORDER BY quarter DESC) AS age FROM fund)
+  SELECT ticker, quarter, eps, row_number() OVER (PARTITION BY ticker ORDER BY quarter DESC) AS age
+  FROM fund WHERE quarter <= DATE '2000-12-31')
 SELECT a.ticker, a.quarter AS latest_quarter, a.eps AS latest_eps
 FROM q a JOIN q b ON b.ticker = a.ticker AND b.age = 2 JOIN q c ON c.ticker = a.ticker AND c.age = 3
 JOIN q d ON d.ticker = a.ticker AND d.age = 4
@@ -628,7 +629,8 @@ WHERE a.age = 1 AND a.eps > 0 AND a.eps > b.eps AND b.eps > c.eps AND c.eps > d.
     )
 )
 def screen_eps_streak(v: Views) -> DataFrame:
-    return Q.screen_eps_streak(v.fundamentals())
+    """The four quarters of the last complete year."""
+    return Q.screen_eps_streak(v.fundamentals().where("quarter <= DATE'2000-12-31'"))
 
 
 # --- checks, logs, storage ------------------------------------------------------------------------------
@@ -679,7 +681,7 @@ WHERE k.index_name = 'ASIA' AND p.date BETWEEN DATE '1998-01-01' AND DATE '1998-
     )
 )
 def sharded_prices(v: Views) -> DataFrame:
-    """Prices written by shard and month; one index's history read from its shards only."""
+    """Prices written by shard; one index's history read from its shards only."""
     sector = F.col("sector")
     shards = v.shares().select(
         "ticker", F.when(sector.isin("AFRICA", "ASIA"), F.lower(sector)).otherwise("misc").alias("shard_id")
@@ -690,7 +692,7 @@ def sharded_prices(v: Views) -> DataFrame:
     table = governance.read_sharded(
         v.spark, path, "ticker string, date date, close decimal(12,4)", governance.shards_of(shards, wanted)
     )
-    year = table.where((F.col("month") >= "1998-01") & (F.col("month") <= "1998-12"))
+    year = table.where(F.col("date").between(F.lit("1998-01-01").cast("date"), F.lit("1998-12-31").cast("date")))
     return year.join(wanted, "ticker", "left_semi").select(
         "ticker", "date", F.col("close").cast("double").alias("close")
     )
