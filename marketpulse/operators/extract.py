@@ -138,7 +138,9 @@ def extract_site(pages: DataFrame, rule: SiteRule, as_of: str = "as_of") -> Data
         lambda a, b: a | b, (F.col(name).isNull() for name in rule.required), F.lit(False)
     )
     no_link = (F.col("link") == "") if "link" in rule.required else F.lit(False)
-    headline = T.clean_headline(F.col("headline")) if rule.drop_escaped_newlines else T.strip(F.col("headline"))
+    headline = F.col("headline")
+    if rule.strip_headline:
+        headline = T.clean_headline(headline) if rule.drop_escaped_newlines else T.strip(headline)
 
     if "footer" in rule.fields:
         source, date_text = T.footer_parts(F.col("footer"))

@@ -1,6 +1,6 @@
 """Registered queries; importing the package registers all of them."""
 
-from . import ingest, market, news  # noqa: F401
+from . import ingest, market, news, streams  # noqa: F401
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]

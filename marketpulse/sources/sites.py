@@ -34,6 +34,7 @@ class SiteRule:
     link_root: str = ""
     link_style: str = "as_is"  # as_is, absolute, dotted or page
     constant_source: str | None = None
+    strip_headline: bool = True
     drop_escaped_newlines: bool = False
 
     def page_url(self, ticker: str) -> str:
@@ -97,6 +98,7 @@ GOOGLE_NEWS = SiteRule(
     date_kind="raw",
     link_root="https://news.google.com",
     link_style="dotted",
+    strip_headline=False,
 )
 # The three sites the daily collection visits for every ticker, in visiting order.
 TICKER_SITES = (GOOGLE_FINANCE, YAHOO_FINANCE, FINOLOGY)
