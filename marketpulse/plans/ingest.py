@@ -299,7 +299,7 @@ ENTITIES_SQL = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;
 )
 def extract_articles(v: Views) -> DataFrame:
     """Headlines of the given pages: one article element per page."""
-    items = extract.usable(extract.extract_site(v.pages(), sites.ARTICLE_PAGE))
+    items = extract.usable(extract.extract_site(v._spread("pages"), sites.ARTICLE_PAGE))
     return items.select("page_id", "headline", "article_link")
 
 
@@ -330,7 +330,8 @@ def site_pages(v: Views) -> DataFrame:
     Items cycle through complete ones, ones without link text, and ones without a date.
     """
     shape = F.pmod("event_id", F.lit(10))
-    events = relative_texts(v).join(v.events().select("event_id", "ts", "user_id", "event_type", "props"), "event_id")
+    number = F.pmod("event_id", F.lit(50)).cast("string")
+    events = v._spread("events").withColumns({"text": _relative_text(number), "as_of": F.col("ts")})
     headline = F.concat(_escaped("event_type"), F.lit(" "), _escaped("props"))
     link = F.when(shape == 3, "").otherwise(F.concat(F.lit("/ev/"), "event_id"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fundamentals as Q
 from ..operators import governance, indices, prices, risk
-from ..session import scratch_path
+from ..session import materialized, scratch_path
 from ..sources.views import Views, quarter_end
 from .registry import query, r6
 from .sql_views import with_views
@@ -32,19 +32,29 @@ def latest(v: Views) -> DataFrame:
 
 
 def picked(v: Views) -> DataFrame:
-    """The ten largest of each sector, as the constituents of that sector's index."""
+    """The ten largest of each sector, as the constituents of that sector's index.
+
+    Written once per query: the list is short and every later step starts from it.
+    """
     top = indices.select_top(latest(v), "ffmc", PER_SECTOR, within=["sector"])
-    return top.withColumnRenamed("sector", "index_name")
+    return materialized(top.withColumnRenamed("sector", "index_name"), "constituents")
+
 
+def with_market(constituents: DataFrame) -> DataFrame:
+    """Each constituent in its own index and in the index of all of them."""
+    return constituents.select("ticker", F.explode(F.array("index_name", F.lit("MARKET"))).alias("index_name"))
 
-def constituent_series(v: Views) -> DataFrame:
+
+def constituent_series(v: Views, constituents: DataFrame) -> DataFrame:
     """Daily free-float caps of the constituents, for each index and for all of them."""
-    member_of = picked(v).select("ticker", F.explode(F.array("index_name", F.lit("MARKET"))).alias("index_name"))
-    return v.market_data().select("ticker", "date", "ffmc").join(member_of, "ticker")
+    held = v.market_data(only=constituents)
+    return held.select("ticker", "date", "ffmc").join(with_market(constituents), "ticker")
 
 
-def index_values_of(v: Views) -> DataFrame:
-    return indices.index_values(indices.combined_mcap(constituent_series(v)))
+def index_values_of(v: Views, constituents: DataFrame) -> DataFrame:
+    """Index values: one row per index and day, written once per query."""
+    series = constituent_series(v, constituents)
+    return materialized(indices.index_values(indices.combined_mcap(series)), "index_values")
 
 
 def index_returns(values: DataFrame) -> DataFrame:
@@ -62,7 +72,8 @@ def members(v: Views) -> DataFrame:
         .groupBy("ticker", quarter_end(F.col("date")).alias("quarter"))
         .agg(F.max_by("ffmc", "date").alias("ffmc"))
     )
-    return indices.membership(indices.select_top(quarters, "ffmc", 10, within=["quarter"]), "TOP10")
+    selected = materialized(indices.select_top(quarters, "ffmc", 10, within=["quarter"]), "selected")
+    return indices.membership(selected, "TOP10")
 
 
 # --- prices -----------------------------------------------------------------------------------------
@@ -330,19 +341,18 @@ FROM index_vals""",
     )
 )
 def index_value(v: Views) -> DataFrame:
-    return index_values_of(v).select(
+    return index_values_of(v, picked(v)).select(
         "index_name", "date", F.round(F.col("combined").cast("double"), 4).alias("combined"), r6("index_value")
     )
 
 
-def dividends_paid(v: Views) -> DataFrame:
+def dividends_paid(v: Views, constituents: DataFrame) -> DataFrame:
     """Cash paid per index and day on the free float of its constituents."""
     paid = v.actions().where("action_type = 'dividend'").select("ticker", F.col("action_date").alias("date"), "amount")
-    member_of = picked(v).select("ticker", F.explode(F.array("index_name", F.lit("MARKET"))).alias("index_name"))
     float_shares = v.shares().select("ticker", (F.col("total_shares") * F.col("ff_pct")).alias("__units"))
     cash = F.sum(F.col("__units").cast("decimal(15,0)") * F.col("amount")) / F.lit(100.0)
     return (
-        paid.join(member_of, "ticker")
+        paid.join(with_market(constituents), "ticker")
         .join(float_shares, "ticker")
         .groupBy("index_name", "date")
         .agg(cash.alias("dividend"))
@@ -375,7 +385,8 @@ SELECT index_name, date, round(index_value, 4) AS index_value, round(total_retur
     )
 )
 def total_return_index(v: Views) -> DataFrame:
-    out = indices.total_return(index_values_of(v), dividends_paid(v))
+    held = picked(v)
+    out = indices.total_return(index_values_of(v, held), dividends_paid(v, held))
     return out.select(
         "index_name",
         "date",
@@ -401,7 +412,7 @@ FROM (SELECT index_name, date, index_value AS v,
     )
 )
 def index_performance(v: Views) -> DataFrame:
-    series = prices.returns(index_values_of(v), "index_value", "index_name")
+    series = prices.returns(index_values_of(v, picked(v)), "index_value", "index_name")
     down = prices.max_drawdown(series, "index_value", "index_name")
     names = [f"returns_{p}" for p in ("1d", "1w", "1m", "1y")]
     return down.select("index_name", "date", *(r6(c) for c in (*names, "max_drawdown")))
@@ -418,8 +429,9 @@ FROM mkt m JOIN member k ON m.ticker = k.ticker AND m.date >= k.effective_date
     )
 )
 def constituents_asof(v: Views) -> DataFrame:
-    rows = v.market_data().select("ticker", "date", "ffmc")
-    return indices.active_on(rows, members(v)).select(
+    spans = members(v)
+    rows = v.market_data(only=spans).select("ticker", "date", "ffmc")
+    return indices.active_on(rows, spans).select(
         "index_name", "ticker", "date", F.col("ffmc").cast("double").alias("ffmc"), "effective_date"
     )
 
@@ -442,7 +454,7 @@ def index_turnover(v: Views) -> DataFrame:
 # --- risk -------------------------------------------------------------------------------------------
 @query(with_views("betas", body="SELECT ticker, round(beta, 6) AS beta, n_days FROM betas"))
 def beta(v: Views) -> DataFrame:
-    market = market_of(index_returns(index_values_of(v)))
+    market = market_of(index_returns(index_values_of(v, picked(v))))
     paired = risk.with_benchmark(prices.daily_returns(v.prices()), market)
     return risk.beta(paired).select("ticker", r6("beta"), "n_days")
 
@@ -457,9 +469,10 @@ JOIN betas USING (ticker) GROUP BY index_name""",
     )
 )
 def portfolio_beta(v: Views) -> DataFrame:
-    market = market_of(index_returns(index_values_of(v)))
-    weighted = indices.weights(picked(v), "ffmc").select("index_name", "ticker", "weight")
-    held = v.prices().join(weighted.select("ticker"), "ticker", "left_semi")
+    constituents = picked(v)
+    market = market_of(index_returns(index_values_of(v, constituents)))
+    weighted = indices.weights(constituents, "ffmc").select("index_name", "ticker", "weight")
+    held = v.prices(only=constituents)
     betas = risk.beta(risk.with_benchmark(prices.daily_returns(held), market))
     return risk.portfolio_beta(weighted, betas).select("index_name", r6("portfolio_beta"), "n")
 
@@ -479,7 +492,8 @@ FROM diffs WHERE diff IS NOT NULL GROUP BY index_name""",
 )
 def tracking_error(v: Views) -> DataFrame:
     """How far each price index strays from its own total-return index."""
-    series = indices.total_return(index_values_of(v), dividends_paid(v))
+    held = picked(v)
+    series = indices.total_return(index_values_of(v, held), dividends_paid(v, held))
     both = prices.daily_returns(series, "index_value", "index_name").join(
         prices.daily_returns(series, "total_return_value", "index_name").withColumnRenamed("ret", "market_ret"),
         ["index_name", "date"],
@@ -499,7 +513,7 @@ WHERE r.index_name <> 'MARKET' GROUP BY 1, 2""",
     )
 )
 def benchmark_compare(v: Views) -> DataFrame:
-    rets = index_returns(index_values_of(v))
+    rets = index_returns(index_values_of(v, picked(v)))
     paired = risk.with_benchmark(rets.where("index_name <> 'MARKET'"), market_of(rets))
     stats = risk.benchmark_stats(paired.withColumn("period", F.year("date")), "index_name", "period")
     measures = ("total_return", "benchmark_return", "excess_return", "volatility", "benchmark_volatility")
@@ -518,7 +532,7 @@ GROUP BY 1, 2 HAVING count(*) > 1""",
 )
 def return_covariance(v: Views) -> DataFrame:
     """Covariances of the daily returns of all index constituents."""
-    held = v.prices().join(picked(v).select("ticker"), "ticker", "left_semi")
+    held = v.prices(only=picked(v))
     return risk.return_covariance(prices.daily_returns(held)).select("a", "b", "n_days", r6("covariance"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Set on every session we build; a cluster's own submit-time values win for sizing
 # (cores, memory, shuffle partitions), so none of those appear here.
@@ -60,3 +60,16 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path below the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """The frame written as a table in the shared folder and read back.
+
+    For small results that a plan uses several times, such as an index's constituents: they
+    are computed once, survive the loss of executors, and their size is known to the
+    planner when it chooses join strategies.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

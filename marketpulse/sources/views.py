@@ -13,7 +13,7 @@ from ..functions.dates import store_text
 from ..functions.scores import compound
 from ..operators.indices import free_float_mcap
 from ..operators.prices import daily_bars
-from .tables import table
+from .tables import broadcast_if_small, spread_if_small, table
 
 SCORE_MODULUS = 3001
 SCORE_DIVISOR = 9973.0  # a prime: four-place rounding never meets a tie
@@ -29,6 +29,12 @@ class Views:
     def _table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
 
+    def _path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
+    def _spread(self, name: str) -> DataFrame:
+        return spread_if_small(self._table(name), self._path(name))
+
     # --- news ---------------------------------------------------------------------------
     def events(self) -> DataFrame:
         return self._table("events")
@@ -37,7 +43,7 @@ class Views:
         return self._table("pages")
 
     def documents(self) -> DataFrame:
-        return self._table("documents")
+        return self._spread("documents")
 
     @staticmethod
     def probability(factor: int) -> Column:
@@ -101,24 +107,31 @@ class Views:
         )
 
     # --- market -------------------------------------------------------------------------
-    def trades(self) -> DataFrame:
-        """One trade per line item; prices are exact decimals (cut at 4 places)."""
-        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-        units = F.floor(cents * 100 / F.col("l_quantity")).cast("bigint")
+    def trades(self, only: DataFrame | None = None) -> DataFrame:
+        """One trade per line item: price in whole 1/10000 (cut), amount in whole cents.
+
+        ``only`` keeps the tickers of a list, before anything is aggregated or shuffled.
+        """
+        cents = whole_cents("l_extendedprice")
+        units = F.floor(cents * 100 / F.col("l_quantity"))
         seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * TRADE_SEQ_FACTOR + F.pmod(
             "l_partkey", F.lit(TRADE_SEQ_FACTOR)
         )
-        return self._table("lineitem").select(
+        rows = self._table("lineitem").select(
             F.concat(F.lit("S"), "l_suppkey").alias("ticker"),
             F.col("l_shipdate").cast("date").alias("date"),
-            (units / F.lit(10000.0)).cast("decimal(12,4)").alias("price"),
+            units.alias("price"),
             F.col("l_quantity").cast("bigint").alias("quantity"),
-            (cents / F.lit(100.0)).cast("decimal(14,2)").alias("amount"),
+            cents.alias("amount"),
             seq.alias("seq"),
         )
+        return rows if only is None else rows.join(only.select("ticker"), "ticker", "left_semi")
 
-    def prices(self) -> DataFrame:
-        return daily_bars(self.trades())
+    def prices(self, only: DataFrame | None = None) -> DataFrame:
+        """Daily bars. Whole numbers are aggregated; decimals are made per day, not per trade."""
+        bars = daily_bars(self.trades(only))
+        exact = {c: (F.col(c) / F.lit(10000.0)).cast("decimal(12,4)") for c in ("open", "high", "low", "close")}
+        return bars.withColumns({**exact, "turnover": (F.col("turnover") / F.lit(100.0)).cast("decimal(20,2)")})
 
     def series_prices(self) -> DataFrame:
         """Five dense daily series from the events, shaped as index history."""
@@ -149,14 +162,14 @@ class Views:
             )
         )
 
-    def market_data(self) -> DataFrame:
+    def market_data(self, only: DataFrame | None = None) -> DataFrame:
         """Daily close with market cap and free-float market cap per ticker."""
         close = F.col("close")
         mcap = (F.col("total_shares").cast("decimal(15,0)") * close).cast("decimal(30,4)")
         return (
-            self.prices()
+            self.prices(only)
             .select("ticker", "date", "close", "volume")
-            .join(self.shares(), "ticker")
+            .join(broadcast_if_small(self.shares(), self._path("supplier")), "ticker")
             .select(
                 "ticker",
                 "date",
@@ -170,13 +183,13 @@ class Views:
 
     def fundamentals(self) -> DataFrame:
         """Revenue, EPS and book value per share by ticker and quarter."""
-        cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-        kept = F.round((1 - F.col("l_discount")) * 100).cast("bigint")
+        cents = whole_cents("l_extendedprice")
+        kept = F.floor((1 - F.col("l_discount")) * 100 + 0.5)
         revenue = self._table("lineitem").groupBy(
             F.concat(F.lit("S"), "l_suppkey").alias("ticker"),
             quarter_end(F.col("l_shipdate")).alias("quarter"),
         ).agg((F.sum(cents * kept) / F.lit(10000.0)).alias("revenue"))
-        return revenue.join(self.shares(), "ticker").select(
+        return revenue.join(broadcast_if_small(self.shares(), self._path("supplier")), "ticker").select(
             "ticker",
             "quarter",
             "sector",
@@ -236,5 +249,10 @@ class Views:
         )
 
 
+def whole_cents(column: str) -> Column:
+    """A non-negative money amount as whole cents."""
+    return F.floor(F.col(column) * 100 + 0.5)
+
+
 def quarter_end(moment: Column) -> Column:
     return F.last_day(F.add_months(F.trunc(moment.cast("date"), "quarter"), 2))
