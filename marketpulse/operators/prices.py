@@ -96,12 +96,15 @@ def daily_returns(series: DataFrame, value: str = "close", key: str = "ticker")
     return series.select(key, "date", change.alias("ret")).where(F.col("ret").isNotNull())
 
 
-def rolling_volatility(series: DataFrame, rows: int = 30, value: str = "close", key: str = "ticker") -> DataFrame:
+def with_rolling_volatility(returns: DataFrame, ret: str = "ret", rows: int = 30, key: str = "ticker") -> DataFrame:
     """Sample deviation of the last ``rows`` daily returns; null until that many exist."""
-    rets = daily_returns(series, value, key)
     last = Window.partitionBy(key).orderBy("date").rowsBetween(-(rows - 1), 0)
-    deviation = F.stddev_samp("ret").over(last)
-    return rets.withColumn("volatility", F.when(F.count("ret").over(last) == rows, deviation))
+    deviation = F.stddev_samp(ret).over(last)
+    return returns.withColumn("volatility", F.when(F.count(ret).over(last) == rows, deviation))
+
+
+def rolling_volatility(series: DataFrame, rows: int = 30, value: str = "close", key: str = "ticker") -> DataFrame:
+    return with_rolling_volatility(daily_returns(series, value, key), "ret", rows, key)
 
 
 def max_drawdown(series: DataFrame, value: str = "close", key: str = "ticker") -> DataFrame:

@@ -117,16 +117,23 @@ def score_with_model(
     return scored.withColumns(nulled).drop("__output")
 
 
+def scored_backlog(
+    store: DataFrame, score: Callable[[DataFrame], DataFrame], n: int | None = 200
+) -> DataFrame:
+    """The latest n unscored articles (None: all) that the scorer could score."""
+    backlog = get_articles(store, n=n, latest=True, has_sentiment=False)
+    scored = score(backlog.select(*ARTICLE_KEY, "date_posted", "source", "article_link"))
+    return scored.where(F.col("compound").isNotNull())
+
+
 def score_backlog(
     store: DataFrame,
     score: Callable[[DataFrame], DataFrame],
     as_of: Column,
     n: int | None = 200,
 ) -> DataFrame:
-    """Next article snapshot after scoring the latest n unscored articles (None: all)."""
-    backlog = get_articles(store, n=n, latest=True, has_sentiment=False)
-    scored = score(backlog.select(*ARTICLE_KEY, "date_posted", "source", "article_link"))
-    return upsert_articles(store, scored.where(F.col("compound").isNotNull()), as_of, has_sentiment=True)
+    """Next article snapshot after scoring the backlog."""
+    return upsert_articles(store, scored_backlog(store, score, n), as_of, has_sentiment=True)
 
 
 def compare_scorers(left: DataFrame, right: DataFrame, suffixes: tuple[str, str]) -> DataFrame:

@@ -30,49 +30,76 @@ def upsert(
     batch: DataFrame,
     keys: Sequence[str],
     replaced: Sequence[str],
+    small_batch: bool = False,
 ) -> DataFrame:
-    """Full outer merge of a keyed store with a batch that has one row per key.
+    """Merge of a keyed store with a batch that has one row per key.
 
     ``replaced`` columns take the batch's value, nulls included, wherever the batch has the
-    key; all other columns keep the stored value. Both sides are unique per key, so the
-    join cannot skew.
+    key; all other columns keep the stored value. Both sides are unique per key, so no join
+    here can skew.
+
+    A full outer join shuffles the whole store. With ``small_batch`` (the caller has checked
+    its size) the batch is broadcast instead and the store is only scanned: once to update
+    its rows, once by key to tell which batch rows are new.
     """
-    incoming = batch.select(
-        *keys, *(F.col(c).alias(f"__new_{c}") for c in replaced), F.lit(True).alias("__hit")
-    )
-    merged = store.join(incoming, list(keys), "full_outer")
+    keys = list(keys)
+    incoming = batch.select(*keys, *(F.col(c).alias(f"__new_{c}") for c in replaced), F.lit(True).alias("__hit"))
+    if not small_batch:
+        return _merged(store.join(incoming, keys, "full_outer"), store, keys, replaced)
+    updated = _merged(store.join(F.broadcast(incoming), keys, "left"), store, keys, replaced)
+    known = store.select(*keys).join(F.broadcast(incoming.select(*keys)), keys, "left_semi")
+    new = incoming.join(known, keys, "left_anti")
+    blank = [
+        F.lit(None).cast(f.dataType).alias(f.name) for f in store.schema.fields if f.name not in keys
+    ]
+    added = _merged(new.select("*", *blank), store, keys, replaced)
+    return updated.unionByName(added)
+
+
+def _merged(joined: DataFrame, store: DataFrame, keys: Sequence[str], replaced: Sequence[str]) -> DataFrame:
     columns = []
     for field in store.schema.fields:
-        if field.name in keys:
-            columns.append(F.col(field.name))
-        elif field.name in replaced:
+        column = F.col(field.name)
+        if field.name in replaced:
             new = F.col(f"__new_{field.name}").cast(field.dataType)
-            columns.append(F.when(F.col("__hit"), new).otherwise(F.col(field.name)).alias(field.name))
-        else:
-            columns.append(F.col(field.name))
-    return merged.select(*columns)
+            column = F.when(F.col("__hit"), new).otherwise(column).alias(field.name)
+        columns.append(column)
+    return joined.select(*columns)
 
 
 def _store_names(batch: DataFrame) -> DataFrame:
     return batch.withColumnsRenamed({k: v for k, v in SCORER_TO_STORE.items() if k in batch.columns})
 
 
-def upsert_articles(store: DataFrame, batch: DataFrame, as_of: Column, has_sentiment: bool = False) -> DataFrame:
-    """Next article snapshot.
+def prepare_batch(batch: DataFrame, as_of: Column, has_sentiment: bool = False) -> DataFrame:
+    """One complete row per key, under the store's names.
 
-    Inside a batch the row with the lowest ``arrival_seq`` wins; the batch wins over the
-    store. Without scores the stored scores survive; with scores they are overwritten.
-    Rows that miss a required column are left out (see ``split_rejects``).
+    The row with the lowest ``arrival_seq`` wins. Rows that miss a required column are left
+    out (see ``split_rejects``).
     """
     batch = _store_names(batch)
-    valid, _ = split_rejects(batch)
-    replaced = [*ARTICLE_CONTENT, *(SCORE_COLUMNS if has_sentiment else ()), "created_at"]
-    missing = [c for c in replaced if c not in batch.columns and c != "created_at"]
+    columns = [*ARTICLE_CONTENT, *(SCORE_COLUMNS if has_sentiment else ())]
+    missing = [c for c in columns if c not in batch.columns]
     if missing:
         raise ValueError(f"batch lacks columns {missing}")
+    valid, _ = split_rejects(batch)
     if "arrival_seq" in batch.columns:
         valid = top_per_key(valid, ARTICLE_KEY, [F.col("arrival_seq")])
-    return upsert(store, valid.withColumn("created_at", as_of), ARTICLE_KEY, replaced)
+    return valid.select(*ARTICLE_KEY, *columns, as_of.alias("created_at"))
+
+
+def merge_articles(store: DataFrame, prepared: DataFrame, small_batch: bool = False) -> DataFrame:
+    """Next article snapshot from a prepared batch: it wins over the store.
+
+    Without scores in the batch the stored scores survive; with scores they are overwritten.
+    """
+    replaced = [c for c in prepared.columns if c not in ARTICLE_KEY]
+    return upsert(store, prepared, ARTICLE_KEY, replaced, small_batch)
+
+
+def upsert_articles(store: DataFrame, batch: DataFrame, as_of: Column, has_sentiment: bool = False) -> DataFrame:
+    """Next article snapshot from a raw batch."""
+    return merge_articles(store, prepare_batch(batch, as_of, has_sentiment))
 
 
 def upsert_ticker_meta(store: DataFrame, batch: DataFrame) -> DataFrame:

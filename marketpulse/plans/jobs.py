@@ -38,7 +38,7 @@ def compute_and_update_sentiment(
     """Score the latest n unscored articles and upsert the scores; nothing to do is a no-op."""
     if store.get_articles(n=1, has_sentiment=False).isEmpty():
         return
-    store.replace("article_data", scoring.score_backlog(store.articles, score, as_of, n))
+    store.insert_articles(scoring.scored_backlog(store.articles, score, n), as_of, has_sentiment=True)
 
 
 def dashboard(store: ArticleStore, root: str, n: int | None = 20) -> DataFrame:

@@ -406,16 +406,20 @@ def total_return_index(v: Views) -> DataFrame:
         RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MONTH PRECEDING) - 1, 6) AS returns_1m,
   round(v / last_value(v) OVER (PARTITION BY index_name ORDER BY date
         RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 YEAR PRECEDING) - 1, 6) AS returns_1y,
+  round(CASE WHEN count(r) OVER w30 = 30 THEN stddev_samp(r) OVER w30 END, 6) AS volatility,
   round(min(dd) OVER (PARTITION BY index_name ORDER BY date), 6) AS max_drawdown
 FROM (SELECT index_name, date, index_value AS v,
-             index_value / max(index_value) OVER (PARTITION BY index_name ORDER BY date) - 1 AS dd FROM index_vals)""",
+             index_value / lag(index_value) OVER (PARTITION BY index_name ORDER BY date) - 1 AS r,
+             index_value / max(index_value) OVER (PARTITION BY index_name ORDER BY date) - 1 AS dd FROM index_vals)
+WINDOW w30 AS (PARTITION BY index_name ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)""",
     )
 )
 def index_performance(v: Views) -> DataFrame:
     series = prices.returns(index_values_of(v, picked(v)), "index_value", "index_name")
-    down = prices.max_drawdown(series, "index_value", "index_name")
+    risky = prices.with_rolling_volatility(series, "returns_1d", key="index_name")
+    down = prices.max_drawdown(risky, "index_value", "index_name")
     names = [f"returns_{p}" for p in ("1d", "1w", "1m", "1y")]
-    return down.select("index_name", "date", *(r6(c) for c in (*names, "max_drawdown")))
+    return down.select("index_name", "date", *(r6(c) for c in (*names, "volatility", "max_drawdown")))
 
 
 # --- membership -----------------------------------------------------------------------------------
@@ -533,7 +537,8 @@ GROUP BY 1, 2 HAVING count(*) > 1""",
 def return_covariance(v: Views) -> DataFrame:
     """Covariances of the daily returns of all index constituents."""
     held = v.prices(only=picked(v))
-    return risk.return_covariance(prices.daily_returns(held)).select("a", "b", "n_days", r6("covariance"))
+    returns = materialized(prices.daily_returns(held), "returns")
+    return risk.return_covariance(returns).select("a", "b", "n_days", r6("covariance"))
 
 
 @query(

@@ -62,7 +62,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
+def materialized(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The frame written as a table in the shared folder and read back.
 
     For small results that a plan uses several times, such as an index's constituents: they
@@ -70,6 +70,6 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     planner when it chooses join strategies.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,11 +11,12 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import articles as reads
 from ..operators import dedup, upsert
 from ..schemas import ARTICLE, TICKER_META
+from ..session import materialized, scratch_path
+from .tables import small_enough
 
 UNIVERSE = "indices_constituents"
 
@@ -61,8 +62,15 @@ class ArticleStore:
         return self.read("ticker_meta", TICKER_META)
 
     def insert_articles(self, batch: DataFrame, as_of: Column, has_sentiment: bool = False) -> None:
-        """Upsert a batch; its rows without a required column are left out."""
-        self.replace("article_data", upsert.upsert_articles(self.articles, batch, as_of, has_sentiment))
+        """Upsert a batch; its rows without a required column are left out.
+
+        The batch is written first: extraction and scoring run once, and its size decides
+        whether the store has to be shuffled.
+        """
+        path = scratch_path(self.spark, "batch")
+        prepared = materialized(upsert.prepare_batch(batch, as_of, has_sentiment), "batch", path)
+        small = small_enough(self.spark, path)
+        self.replace("article_data", upsert.merge_articles(self.articles, prepared, small))
 
     def insert_ticker_metadata(self, batch: DataFrame) -> None:
         self.replace("ticker_meta", upsert.upsert_ticker_meta(self.get_ticker_metadata(), batch))

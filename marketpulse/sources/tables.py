@@ -35,9 +35,13 @@ def broadcast_if_small(df: DataFrame, *paths: str) -> DataFrame:
     broadcast the other side instead. Above a quarter of the limit (Parquet is compressed)
     no hint is given and the planner chooses.
     """
-    spark = df.sparkSession
+    return F.broadcast(df) if small_enough(df.sparkSession, *paths) else df
+
+
+def small_enough(spark: SparkSession, *paths: str) -> bool:
+    """Whether the files at the paths are below a quarter of Spark's broadcast limit."""
     limit = _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
-    return F.broadcast(df) if sum(stored_bytes(spark, p) for p in paths) * 4 <= limit else df
+    return sum(stored_bytes(spark, p) for p in paths) * 4 <= limit
 
 
 def stored_bytes(spark: SparkSession, path: str) -> int:

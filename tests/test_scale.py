@@ -102,3 +102,13 @@ def test_upsert_is_idempotent_with_unique_keys(spark, small):
     twice = upsert.upsert_articles(once, news.batch(v), news.as_of())
     assert once.count() == once.select("ticker", "headline").distinct().count()
     assert once.exceptAll(twice).isEmpty() and twice.exceptAll(once).isEmpty()
+
+
+def test_small_batch_merge_equals_full_merge_without_shuffling_the_store(spark, small):
+    v = Views(spark, small)
+    store = news.stored(v)
+    prepared = upsert.prepare_batch(news.batch(v), news.as_of())
+    full, light = upsert.merge_articles(store, prepared), upsert.merge_articles(store, prepared, small_batch=True)
+    assert full.exceptAll(light).isEmpty() and light.exceptAll(full).isEmpty()
+    flat = v.articles().drop("arrival_seq")
+    assert "SortMergeJoin" not in plan(upsert.merge_articles(flat, prepared, small_batch=True))
