@@ -316,9 +316,10 @@ tried AS (
     FROM edge, caps) WHERE cap > 0 AND cap <= limit_cap),
 {SCALES_SQL},
 fitting AS (
-  SELECT index_name, scheme, max(f.cap) AS cap FROM (
+  -- where the limit cannot be met, a third of it is below 1/n and the weights are equal
+  SELECT index_name, scheme, coalesce(max(f.cap) FILTER (WHERE top3 <= top + 1e-9), max(top) / 3) AS cap FROM (
     SELECT index_name, scheme, cap, sum(capped_weight) FILTER (WHERE r <= 3) AS top3 FROM filled GROUP BY 1, 2, 3) f
-  JOIN caps USING (scheme) WHERE top3 <= top + 1e-9 GROUP BY 1, 2)
+  JOIN caps USING (scheme) GROUP BY 1, 2)
 SELECT index_name, ticker, scheme, round(capped_weight, 6) AS capped_weight
 FROM filled JOIN fitting USING (index_name, scheme, cap)""",
     )
