@@ -6,7 +6,7 @@ later rule - stripping, links, footers, dates, required fields - is a column exp
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from html.parser import HTMLParser
 
@@ -94,16 +94,19 @@ def find_items(html: str, rule: SiteRule) -> list[dict]:
     return finder.items
 
 
-def _find(pages: DataFrame, rule: SiteRule) -> DataFrame:
+def _find(pages: DataFrame, rules: Sequence[SiteRule]) -> DataFrame:
     """One row per item element, with the page's other columns carried along."""
     carried = [c for c in pages.columns if c != "html"]
     carried_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "html")
+    by_site = {rule.name: rule for rule in rules}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             source, position, found = [], [], {name: [] for name in FIELDS}
-            for row, html in enumerate(batch["html"]):
-                for pos, record in enumerate(find_items(html, rule) if html is not None else ()):
+            for row, (site, html) in enumerate(zip(batch["site"], batch["html"])):
+                if html is None or site not in by_site:
+                    continue
+                for pos, record in enumerate(find_items(html, by_site[site])):
                     source.append(row)
                     position.append(pos)
                     for name in FIELDS:
@@ -128,57 +131,87 @@ def _link(rule: SiteRule) -> Column:
     return link
 
 
-def extract_site(pages: DataFrame, rule: SiteRule, as_of: str = "as_of") -> DataFrame:
-    """Items of one site's pages, with ``problem`` null for usable articles.
-
-    ``pages`` needs url, html and, unless dates are raw, the scrape time ``as_of``.
-    """
-    found = _find(pages, rule)
-    missing = reduce(
-        lambda a, b: a | b, (F.col(name).isNull() for name in rule.required), F.lit(False)
-    )
-    no_link = (F.col("link") == "") if "link" in rule.required else F.lit(False)
+def _headline(rule: SiteRule) -> Column:
     headline = F.col("headline")
-    if rule.strip_headline:
-        headline = T.clean_headline(headline) if rule.drop_escaped_newlines else T.strip(headline)
+    if not rule.strip_headline:
+        return headline
+    return T.clean_headline(headline) if rule.drop_escaped_newlines else T.strip(headline)
+
 
+def _source(rule: SiteRule) -> Column:
     if "footer" in rule.fields:
-        source, date_text = T.footer_parts(F.col("footer"))
-    else:
-        source = F.lit(rule.constant_source) if rule.constant_source else F.col("source")
-        date_text = T.strip(F.col("date")) if rule.date_kind == "absolute" else F.col("date")
-    shaped = found.withColumns(
+        return T.footer_parts(F.col("footer"))[0]
+    return F.lit(rule.constant_source) if rule.constant_source else F.col("source")
+
+
+def _date_text(rule: SiteRule) -> Column:
+    if "footer" in rule.fields:
+        return T.footer_parts(F.col("footer"))[1]
+    if rule.date_kind == "none":
+        return F.lit("")
+    return T.strip(F.col("date")) if rule.date_kind == "absolute" else F.col("date")
+
+
+def _problem(rule: SiteRule) -> Column:
+    missing = reduce(lambda a, b: a | b, (F.col(name).isNull() for name in rule.required), F.lit(False))
+    problem = F.when(missing, "missing element")
+    return problem.when(F.col("link") == "", "missing link") if "link" in rule.required else problem
+
+
+def extract_articles(pages: DataFrame, rules: Sequence[SiteRule], as_of: str = "as_of") -> DataFrame:
+    """All items of landed pages, with ``problem`` null for usable articles.
+
+    ``pages`` has site (the rule's name), url, html and, for relative and absolute dates,
+    the scrape time. Pages are read once whatever the number of sites; a site without
+    pages adds nothing, and pages of other sites are skipped.
+    """
+
+    def per_site(column: Callable[[SiteRule], Column], only: Sequence[SiteRule] = rules) -> Column:
+        chosen = F
+        for rule in only:
+            chosen = chosen.when(F.col("site") == rule.name, column(rule))
+        return chosen
+
+    items = _find(pages, rules).withColumns(
         {
-            "headline": headline,
-            "source": source,
-            "article_link": _link(rule),
-            "date_text": date_text,
-            "problem": F.when(missing, "missing element").when(no_link, "missing link"),
+            "headline": per_site(_headline),
+            "source": per_site(_source),
+            "article_link": per_site(_link),
+            "date_text": per_site(_date_text),
+            "problem": per_site(_problem),
         }
     )
-    if rule.date_kind == "relative":
-        dated = with_relative_date(shaped, "date_text", as_of, "date_posted")
-    elif rule.date_kind == "absolute":
-        dated = with_absolute_date(shaped, "date_text", rule.date_format, as_of, "date_posted")
-    else:
-        value = F.col("date_text") if rule.date_kind == "raw" else F.lit("")
-        dated = shaped.withColumns({"date_posted": value, "date_posted_status": F.lit("ok")})
-    bad_date = F.when(F.col("date_posted_status") == "reject", "unreadable date")
+    # Each kind of date reads its own sites' text; the others stay as written.
+    written = [rule for rule in rules if rule.date_kind in ("raw", "none")]
+    outcomes = [(per_site(lambda rule: F.col("date_text"), written), F.lit("ok"), written)] if written else []
+    relative = [rule for rule in rules if rule.date_kind == "relative"]
+    if relative:
+        items = items.withColumn("__text", per_site(lambda rule: F.col("date_text"), relative))
+        items = with_relative_date(items, "__text", as_of, "__rel")
+        outcomes.append((F.col("__rel"), F.col("__rel_status"), relative))
+    absolute = [rule for rule in rules if rule.date_kind == "absolute"]
+    for i, fmt in enumerate(sorted({rule.date_format for rule in absolute})):
+        same = [rule for rule in absolute if rule.date_format == fmt]
+        items = items.withColumn("__text", per_site(lambda rule: F.col("date_text"), same))
+        items = with_absolute_date(items, "__text", fmt, as_of, f"__abs{i}")
+        outcomes.append((F.col(f"__abs{i}"), F.col(f"__abs{i}_status"), same))
+
+    date, status = F, F
+    for value, state, of in outcomes:
+        here = F.col("site").isin([rule.name for rule in of])
+        date, status = date.when(here, value), status.when(here, state)
+    bad_date = F.when(F.col("__status") == "reject", "unreadable date")
+    helpers = [c for c in items.columns if c.startswith("__")]
     return (
-        dated.withColumn("site", F.lit(rule.name))
+        items.withColumns({"date_posted": date, "__status": status})
         .withColumn("problem", F.coalesce(F.col("problem"), bad_date))
-        .drop("date", "link", "footer", "date_text", "date_posted_status")
+        .drop("date", "link", "footer", "date_text", "__status", *helpers)
     )
 
 
-def extract_articles(pages: DataFrame, rules: Sequence[SiteRule]) -> DataFrame:
-    """All sites' items in one frame. ``pages.site`` names the rule of each page.
-
-    A site without pages adds nothing; unusable items carry a ``problem``.
-    """
-    carried = pages.drop("site")
-    parts = [extract_site(carried.where(pages["site"] == rule.name), rule) for rule in rules]
-    return reduce(DataFrame.unionByName, parts)
+def extract_site(pages: DataFrame, rule: SiteRule, as_of: str = "as_of") -> DataFrame:
+    """Items of one site's pages."""
+    return extract_articles(pages.withColumn("site", F.lit(rule.name)), [rule], as_of)
 
 
 def usable(items: DataFrame) -> DataFrame:
