@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prices import with_rolling_volatility
+
 
 def asof(
     rows: DataFrame,
@@ -107,3 +109,26 @@ def valuation_ratios(rows: DataFrame) -> DataFrame:
             "dividend_yield": ratio(F.col("dividends_1y").cast("double"), close),
         }
     )
+
+
+def computed_metrics(
+    prices: DataFrame, fundamentals: DataFrame, dividends: DataFrame, betas: DataFrame
+) -> DataFrame:
+    """The stored metrics per ticker and day: ratios, growth, beta and 30-day volatility."""
+    grown = growth_yoy(fundamentals, ["revenue", "eps"])
+    facts = ["eps", "book_value_per_share", "revenue_growth_yoy", "eps_growth_yoy"]
+    known = valuation_ratios(asof(trailing_dividends(prices, dividends), grown, facts, "quarter"))
+    close = F.col("close").cast("double")
+    change = F.try_divide(close, F.lag(close).over(Window.partitionBy("ticker").orderBy("date"))) - 1
+    risky = with_rolling_volatility(known.withColumn("__ret", change), "__ret")
+    return risky.join(betas.select("ticker", "beta"), "ticker", "left").select(
+        "ticker",
+        "date",
+        "pe_ratio",
+        "pb_ratio",
+        "dividend_yield",
+        "revenue_growth_yoy",
+        "eps_growth_yoy",
+        "beta",
+        F.col("volatility").alias("volatility_30d"),
+    )

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LAST = "9999-12-31 23:59:59"
-
+from ..session import materialized
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first n rows of every key.
@@ -25,41 +24,27 @@ def numbered_duplicates(
 ) -> DataFrame:
     """Rows of every key that occurs more than once, numbered in time order (nulls last).
 
-    A plain window would bring all copies of a key into one task. Here copies are counted
-    per minute first; the counts give every minute its offset (a window over minutes of a
-    day and one over days), and rows are numbered only inside their own minute.
+    A window per key would bring all copies of a key into one task. Instead the copies are
+    range-partitioned by key, time and tie, which cuts a hot key into many slices however
+    its rows are spread, and written with their slice number. Rows are numbered inside
+    their slice; counts per key and slice - a few rows per key - give each slice its offset.
     """
     keys = list(keys)
-    at = F.coalesce(F.col(moment).cast("timestamp"), F.lit(_LAST).cast("timestamp"))
-    placed = df.withColumns({"__day": F.to_date(at), "__minute": F.date_trunc("minute", at)})
-
-    minutes = placed.groupBy(*keys, "__day", "__minute").agg(F.count(F.lit(1)).alias("__n"))
-    days = minutes.groupBy(*keys, "__day").agg(F.sum("__n").alias("__day_n"))
-    by_day = Window.partitionBy(*keys).orderBy("__day")
-    days = days.withColumns(
-        {
-            "__days_before": F.coalesce(
-                F.sum("__day_n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-            "__total": F.sum("__day_n").over(Window.partitionBy(*keys)),
-        }
-    ).where(F.col("__total") > 1)
-    by_minute = Window.partitionBy(*keys, "__day").orderBy("__minute")
+    order = [F.col(moment).asc_nulls_last(), F.col(tie).asc()]
+    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(*keys)
+    copies = df.join(repeated, keys, "left_semi")
+    sliced = materialized(
+        copies.repartitionByRange(*keys, *order).withColumn("__slice", F.spark_partition_id()), "slices"
+    )
+    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        minutes.join(days, [*keys, "__day"])
-        .withColumn(
-            "__minutes_before",
-            F.coalesce(
-                F.sum("__n").over(by_minute.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-        .select(
-            *keys, "__day", "__minute", (F.col("__days_before") + F.col("__minutes_before")).alias("__before")
-        )
+        sliced.groupBy(*keys, "__slice")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .select(*keys, "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     )
-    inside = Window.partitionBy(*keys, "__day", "__minute").orderBy(F.col(moment).asc_nulls_last(), tie)
+    inside = Window.partitionBy(*keys, "__slice").orderBy(*order)
     return (
-        placed.join(offsets, [*keys, "__day", "__minute"])
+        sliced.join(offsets, [*keys, "__slice"])
         .withColumn(name, F.col("__before") + F.row_number().over(inside))
-        .drop("__day", "__minute", "__before")
+        .drop("__slice", "__before")
     )

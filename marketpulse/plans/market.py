@@ -653,6 +653,40 @@ def screen_eps_streak(v: Views) -> DataFrame:
     return Q.screen_eps_streak(v.fundamentals().where("quarter <= DATE'2000-12-31'"))
 
 
+@query(
+    with_views(
+        "px",
+        "fund",
+        "actions",
+        "betas",
+        body=f""", grown AS (
+  SELECT g.*, f.eps, f.book_value_per_share FROM ({GROWTH_SQL}) g JOIN fund f USING (ticker, quarter)),
+facts AS (
+  SELECT p.ticker, p.date, p.close::DOUBLE AS close, g.eps, g.book_value_per_share, g.revenue_growth_yoy, g.eps_growth_yoy
+  FROM px p ASOF LEFT JOIN grown g ON p.ticker = g.ticker AND p.date >= g.quarter),
+paid AS (
+  SELECT p.ticker, p.date, sum(a.amount)::DOUBLE AS dividends_1y FROM px p
+  JOIN actions a ON a.ticker = p.ticker AND a.action_date <= p.date AND a.action_date >= p.date - INTERVAL 1 YEAR
+  GROUP BY 1, 2)
+SELECT ticker, facts.date, round(CASE WHEN eps > 0 THEN close / eps END, 6) AS pe_ratio,
+  round(CASE WHEN book_value_per_share > 0 THEN close / book_value_per_share END, 6) AS pb_ratio,
+  round(CASE WHEN close > 0 THEN coalesce(dividends_1y, 0) / close END, 6) AS dividend_yield,
+  round(revenue_growth_yoy, 6) AS revenue_growth_yoy, round(eps_growth_yoy, 6) AS eps_growth_yoy,
+  round(beta, 6) AS beta, round(vol, 6) AS volatility_30d
+FROM facts LEFT JOIN paid USING (ticker, date) LEFT JOIN betas USING (ticker)
+LEFT JOIN (SELECT ticker, date, CASE WHEN count(ret) OVER w = 30 THEN stddev_samp(ret) OVER w END AS vol FROM rets
+           WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)) USING (ticker, date)""",
+    )
+)
+def computed_metrics(v: Views) -> DataFrame:
+    market = market_of(index_returns(index_values_of(v, picked(v))))
+    betas = risk.beta(risk.with_benchmark(prices.daily_returns(v.prices()), market))
+    closes = v.prices().select("ticker", "date", "close")
+    dividends = v.actions().where("amount is not null")
+    out = Q.computed_metrics(closes, v.fundamentals(), dividends, betas)
+    return out.select("ticker", "date", *(r6(c) for c in out.columns[2:]))
+
+
 # --- checks, logs, storage ------------------------------------------------------------------------------
 @query(
     with_views(

@@ -33,7 +33,20 @@ def hot(spark):
     return base.withColumn("created_at", nulls)
 
 
-def test_numbering_by_minutes_equals_one_window(hot):
+@pytest.mark.parametrize("same_moment", [False, True])
+def test_numbering_by_slices_equals_one_window(spark, hot, same_moment):
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")  # or little data would end up in one slice
+    try:
+        _check_numbering(hot, same_moment)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _check_numbering(hot, same_moment):
+    if same_moment:  # all copies from one batch
+        hot = hot.withColumn("created_at", F.timestamp_seconds(F.lit(0)))
     keys = ["ticker", "headline"]
     got = ordering.numbered_duplicates(hot, keys, "created_at", "arrival_seq").select("arrival_seq", "rn")
     whole = Window.partitionBy(*keys)
