@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from marketpulse.operators import dedup, governance, hierarchy, ordering, upsert
+from marketpulse.operators import dedup, governance, hierarchy, ordering, prices, upsert
 from marketpulse.plans import news
 from marketpulse.sources.views import Views
 
@@ -79,6 +79,17 @@ def test_scans_read_only_what_they_need(spark, small):
     assert "ReadSchema" in text and "l_discount" not in text and "l_returnflag" not in text
 
 
+def test_range_scan_filters_reach_parquet_and_prune_shards(spark, small, tmp_path):
+    v = Views(spark, small)
+    path = str(tmp_path / "prices")
+    shards = v.shares().select("ticker", F.lower("sector").alias("shard_id"))
+    governance.write_sharded(v.prices().select("ticker", "date", "close"), shards, path)
+    schema = "ticker string, date date, close decimal(12,4)"
+    table = spark.read.schema(f"{schema}, shard_id string").parquet(path)
+    text = plan(prices.price_range(table, ["S1", "S2"], "1996-04-01", "1997-01-01").where("shard_id = 'asia'"))
+    assert "In(ticker" in text and "GreaterThanOrEqual(date" in text and "PartitionFilters: [isnotnull(shard_id" in text
+
+
 QUERIES = sorted(set(contract.queries()) - {"stream_ingest", "stream_daily_sentiment", "stream_weekly_sentiment"})
 
 
