@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +18,6 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
-_fallback_folder: str | None = None
-
-
 def local_session(cores: str = "*", app: str = "marketpulse", **extra: str) -> SparkSession:
     """A single-JVM session for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -43,23 +39,19 @@ def local_session(cores: str = "*", app: str = "marketpulse", **extra: str) -> S
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on
-    one machine) do we make one, once per process.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests on one
+    machine) it is a folder below the session's warehouse.
     """
-    global _fallback_folder
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if _fallback_folder is None:
-        _fallback_folder = tempfile.mkdtemp(prefix="marketpulse-")
-    return _fallback_folder
+    return configured.rstrip("/") if configured else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh, never reused path below the shared folder; removed when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(location)
+    return path
 
 
 def materialized(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
