@@ -47,11 +47,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never reused path below the shared folder; removed when the session's JVM ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(location)
-    return path
+    """A fresh, never reused path in the session's own part of the shared folder.
+
+    That part is removed when the session's JVM ends.
+    """
+    root = f"{shared_folder(spark)}/pulse-{spark.sparkContext.applicationId}"
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(location):
+        files.mkdirs(location)
+        files.deleteOnExit(location)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
