@@ -13,10 +13,13 @@ other. What a star can't decide is settled exactly, because Jaccard distance is
 
 * nodes within 0.25 of the centre are linked with it and leave the bucket;
 * a node further than 0.5 can't be linked with any that left;
-* a node between 0.25 and 0.5 is compared with those that left, where the difference of
-  their distances to the centre is at most 0.25 and they aren't yet connected;
-* what stays elects the next centre. After STARS rounds the remaining pairs of a bucket
-  that aren't connected yet are compared one by one, so nothing is left out.
+* a node between 0.25 and 0.5 that isn't yet connected with the centre is compared with those
+  that left, where the difference of their distances to the centre is at most 0.25;
+* of what stays, nodes of different components and of sizes that allow a link are compared.
+
+Bands are taken in parts, and buckets that lie in one component are skipped, so a large group
+is connected by few stars and then left alone; no link between different components is left
+out.
 
 Every link is confirmed on the full sets, which are read again for nodes in shared buckets.
 
@@ -42,7 +45,8 @@ from .tokens import grams, mixed, slices, tokens
 WORDS = 5
 BINS = 128
 ROWS = 4
-STARS = 2
+#: Bands are worked through in these parts; what one part connects, the next leaves alone.
+BATCHES = ((0, 6), (6, 32))
 #: Linked: PERCENT * union <= 100 * intersection.
 PERCENT = 75
 
@@ -164,45 +168,47 @@ _FAR = f"100 * inter < {2 * PERCENT - 100} * total"
 
 def _links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between nodes, enough of them to connect all that are linked."""
-    nodes = signed.where("n > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.coalesce("doc_id", F.lit(0))).alias("some_id"))
-    entries = materialized(nodes.select("node", "some_id", F.explode("bands").alias("key")), "bands")
+    nodes = signed.where("n > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.min(F.coalesce("doc_id", F.lit(0))).alias("some_id"))
+    entries = materialized(nodes.select("node", "n", "some_id", F.posexplode("bands").alias("band", "key")), "bands")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
     buckets = materialized(entries.join(shared, "key"), "buckets")
-    wanted = buckets.select("some_id").distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.coalesce("doc_id", F.lit(0)) == F.col("some_id"), "left_semi")
+    texts = docs.select("doc_id", "text").join(buckets.select("some_id").distinct(), F.coalesce("doc_id", F.lit(0)) == F.col("some_id"), "left_semi")
     sets = materialized(texts.mapInArrow(_full_sets, _SETS).groupBy("node").agg(F.first("items").alias("items")), "sets")
-    buckets = buckets.select("key", "node")
-    links = None
-
-    def connected(found: DataFrame, extra: DataFrame) -> DataFrame:
-        return extra if found is None else found.union(extra)
-
-    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        """The pairs whose ends aren't connected yet."""
-        labels = components(found)
-        a = labels.select(F.col("node").alias("a"), F.col("label").alias("__a"))
-        b = labels.select(F.col("node").alias("b"), F.col("label").alias("__b"))
-        return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select(*pairs.columns)
-
-    for _ in range(STARS):
-        centres = buckets.groupBy("key").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1")
-        starred = buckets.withColumnRenamed("node", "a").join(centres.select("key", "b"), "key").where("a != b")
+    links = buckets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return materialized(_measured(pairs, sets).where(_LINKED).select("a", "b"), "links")
+
+    def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+        """`rows` with the component of a node column; a node without links is its own."""
+        known = labels.select(F.col("node").alias(node), F.col("label").alias(name))
+        return rows.join(known, node, "left").withColumn(name, F.coalesce(name, node))
+
+    def undecided(rows: DataFrame) -> DataFrame:
+        """The rows of buckets (key) in which more than one component (part) is left."""
+        keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
+        return rows.join(keys, "key")
+
+    for low, high in BATCHES:
+        rows = buckets.where(F.col("band").between(low, high - 1)).select("key", "node", "n")
+        rows = materialized(undecided(labelled(rows, components(links), "node", "part")).drop("part"), "undecided")
+        centres = rows.groupBy("key").agg(F.min("node").alias("b"))
+        starred = rows.withColumnRenamed("node", "a").join(centres, "key").where("a != b")
         stars = materialized(_measured(starred.select("a", "b").distinct(), sets), "stars")
-        links = connected(links, stars.where(_LINKED).select("a", "b"))
-        placed = materialized(starred.join(stars, ["a", "b"]), "placed")
-        distance = 1 - F.col("inter") / F.col("total")
-        border = placed.where(f"not ({_LINKED}) and not ({_FAR})").select("key", "a", distance.alias("far"))
-        close = placed.where(_LINKED).select("key", F.col("a").alias("b"), distance.alias("near"))
-        if not border.isEmpty():
-            # a hair more than the bound, for the last bit of the division
-            crossed = border.join(close, "key").where(F.expr(f"far - near <= {1 - PERCENT / 100} + 1e-9")).select("a", "b").distinct()
-            crossed = apart(materialized(crossed, "crossed"), links)
-            links = connected(links, materialized(_measured(crossed, sets).where(_LINKED).select("a", "b"), "crossed"))
-        buckets = placed.where(f"not ({_LINKED})").select("key", F.col("a").alias("node"))
-    other = buckets.select("key", F.col("node").alias("b"))
-    rest = buckets.withColumnRenamed("node", "a").join(other, "key").where("a < b").select("a", "b").distinct()
-    if not rest.isEmpty():
-        links = connected(links, _measured(apart(materialized(rest, "rest"), links), sets).where(_LINKED).select("a", "b"))
+        links = links.union(stars.where(_LINKED).select("a", "b"))
+        labels = components(links)
+        placed = starred.join(stars, ["a", "b"]).withColumn("away", 1 - F.col("inter") / F.col("total"))
+        placed = materialized(labelled(labelled(placed, labels, "a", "part"), labels, "b", "centre"), "placed")
+        # what left is connected with the centre, so only nodes that aren't yet can gain a link there
+        border = placed.where(f"not ({_LINKED}) and not ({_FAR}) and part != centre").select("key", "a", F.col("away").alias("far"))
+        close = placed.where(_LINKED).select("key", F.col("a").alias("b"), F.col("away").alias("near"))
+        # a hair more than the bound, for the last bit of the division
+        crossed = border.join(close, "key").where(f"far - near <= {1 - PERCENT / 100} + 1e-9").select("a", "b").distinct()
+        links = links.union(confirmed(crossed))
+        rest = materialized(undecided(labelled(placed.where(f"not ({_LINKED})").select("key", F.col("a").alias("node"), "n"), components(links), "node", "part")), "rest")
+        other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
+        pairs = rest.withColumnRenamed("node", "a").join(other, "key").where(f"part < other and 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+        links = links.union(confirmed(pairs.select("a", "b").distinct()))
     return links
 
 
