@@ -15,18 +15,14 @@ def components(edges: DataFrame) -> DataFrame:
     label, so paths halve; every round is written, which cuts the lineage. Nodes without an
     edge don't appear; no edges give an empty table.
     """
-    both = materialized(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = materialized(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels"
-    )
+    ends = edges.select(F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ("ab", "ba", "aa", "bb")])).alias("e"))
+    both = materialized(ends.select("e.*"), "edges")
+    labels = materialized(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
-        moved = labels.join(near, labels.node == near.a).select("node", "label", F.least("label", "near").alias("low"))
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("low"), F.min(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
         hop = labels.select(F.col("node").alias("low"), F.col("label").alias("root"))
-        after = materialized(
-            moved.join(hop, "low").select("node", F.least("low", "root").alias("label"), (F.col("label") != F.least("low", "root")).alias("moved")),
-            "labels",
-        )
+        after = near.join(hop, "low").select(F.col("a").alias("node"), F.least("low", "root").alias("label"), (F.col("old") != F.least("low", "root")).alias("moved"))
+        after = materialized(after, "labels")
         labels = after.select("node", "label")
         if after.where("moved").isEmpty():
             return labels

@@ -17,9 +17,9 @@ other. What a star can't decide is settled exactly, because Jaccard distance is
   that left, where the difference of their distances to the centre is at most 0.25;
 * of what stays, nodes of different components and of sizes that allow a link are compared.
 
-Bands are taken in parts, and buckets that lie in one component are skipped, so a large group
-is connected by few stars and then left alone; no link between different components is left
-out.
+Before that, the stars of the first EARLY bands connect most groups, and buckets that lie in
+one component are skipped, so a large group is connected by few stars and then left alone; no
+link between different components is left out.
 
 Every link is confirmed on the full sets, which are read again for nodes in shared buckets.
 
@@ -45,8 +45,8 @@ from .tokens import grams, mixed, slices, tokens
 WORDS = 5
 BINS = 128
 ROWS = 4
-#: Bands are worked through in these parts; what one part connects, the next leaves alone.
-BATCHES = ((0, 6), (6, 32))
+#: So many bands are compared by stars alone at first, to connect what is easily connected.
+EARLY = 6
 #: Linked: PERCENT * union <= 100 * intersection.
 PERCENT = 75
 
@@ -174,8 +174,6 @@ def _links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     buckets = materialized(entries.join(shared, "key"), "buckets")
     texts = docs.select("doc_id", "text").join(buckets.select("some_id").distinct(), F.coalesce("doc_id", F.lit(0)) == F.col("some_id"), "left_semi")
     sets = materialized(texts.mapInArrow(_full_sets, _SETS).groupBy("node").agg(F.first("items").alias("items")), "sets")
-    links = buckets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-
     def confirmed(pairs: DataFrame) -> DataFrame:
         return materialized(_measured(pairs, sets).where(_LINKED).select("a", "b"), "links")
 
@@ -189,27 +187,30 @@ def _links(signed: DataFrame, docs: DataFrame) -> DataFrame:
         keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
         return rows.join(keys, "key")
 
-    for low, high in BATCHES:
-        rows = buckets.where(F.col("band").between(low, high - 1)).select("key", "node", "n")
-        rows = materialized(undecided(labelled(rows, components(links), "node", "part")).drop("part"), "undecided")
+    def starred(rows: DataFrame) -> DataFrame:
+        """Each row of a bucket with the bucket's centre, as (key, a, n, b)."""
         centres = rows.groupBy("key").agg(F.min("node").alias("b"))
-        starred = rows.withColumnRenamed("node", "a").join(centres, "key").where("a != b")
-        stars = materialized(_measured(starred.select("a", "b").distinct(), sets), "stars")
-        links = links.union(stars.where(_LINKED).select("a", "b"))
-        labels = components(links)
-        placed = starred.join(stars, ["a", "b"]).withColumn("away", 1 - F.col("inter") / F.col("total"))
-        placed = materialized(labelled(labelled(placed, labels, "a", "part"), labels, "b", "centre"), "placed")
-        # what left is connected with the centre, so only nodes that aren't yet can gain a link there
-        border = placed.where(f"not ({_LINKED}) and not ({_FAR}) and part != centre").select("key", "a", F.col("away").alias("far"))
-        close = placed.where(_LINKED).select("key", F.col("a").alias("b"), F.col("away").alias("near"))
-        # a hair more than the bound, for the last bit of the division
-        crossed = border.join(close, "key").where(f"far - near <= {1 - PERCENT / 100} + 1e-9").select("a", "b").distinct()
-        links = links.union(confirmed(crossed))
-        rest = materialized(undecided(labelled(placed.where(f"not ({_LINKED})").select("key", F.col("a").alias("node"), "n"), components(links), "node", "part")), "rest")
-        other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
-        pairs = rest.withColumnRenamed("node", "a").join(other, "key").where(f"part < other and 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-        links = links.union(confirmed(pairs.select("a", "b").distinct()))
-    return links
+        return rows.withColumnRenamed("node", "a").join(centres, "key").where("a != b").select("key", "a", "n", "b")
+
+    rows = buckets.select("key", "node", "n", "band")
+    links = confirmed(starred(rows.where(F.col("band") < EARLY)).select("a", "b").distinct())
+    rows = materialized(undecided(labelled(rows, components(links), "node", "part")).drop("part"), "undecided")
+    placed = starred(rows)
+    stars = materialized(_measured(placed.select("a", "b").distinct(), sets), "stars")
+    links = links.union(stars.where(_LINKED).select("a", "b"))
+    labels = components(links)
+    placed = placed.join(stars, ["a", "b"]).withColumn("away", 1 - F.col("inter") / F.col("total"))
+    placed = materialized(labelled(labelled(placed, labels, "a", "part"), labels, "b", "centre"), "placed")
+    # what left is connected with the centre, so only nodes that aren't yet can gain a link there
+    border = placed.where(f"not ({_LINKED}) and not ({_FAR}) and part != centre").select("key", "a", F.col("away").alias("far"))
+    close = placed.where(_LINKED).select("key", F.col("a").alias("b"), F.col("away").alias("near"))
+    # a hair more than the bound, for the last bit of the division
+    crossed = border.join(close, "key").where(f"far - near <= {1 - PERCENT / 100} + 1e-9").select("a", "b")
+    rest = undecided(placed.where(f"not ({_LINKED})").select("key", F.col("a").alias("node"), "n", "part"))
+    rest = materialized(rest, "rest")
+    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
+    pairs = rest.withColumnRenamed("node", "a").join(other, "key").where(f"part < other and 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
+    return links.union(confirmed(crossed.union(pairs.select("a", "b")).distinct()))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
