@@ -28,7 +28,7 @@ from .arrays import let, starts, words
 
 K = 5
 WINDOW = 8
-SLICE_CHARS = 16_000_000
+SLICE_CHARS = 2_000_000
 SLICES = 10_000
 SHIFT = 7
 
