@@ -8,8 +8,7 @@ band share a bucket. A pair at similarity 0.75 is in no common bucket with proba
 (1 - 0.75^4)^32 = 5e-6.
 
 Documents with equal sets are one node from the start, so copies never meet in a bucket.
-Inside a bucket, nodes are compared with one centre (the smallest node), not with each
-other. What a star can't decide is settled exactly, because Jaccard distance is a metric:
+Inside a bucket, nodes are compared with one centre (the first by a hash), not with each other. What a star can't decide is settled exactly, because Jaccard distance is a metric:
 
 * nodes within 0.25 of the centre are linked with it and leave the bucket;
 * a node further than 0.5 can't be linked with any that left;
@@ -17,9 +16,9 @@ other. What a star can't decide is settled exactly, because Jaccard distance is
   that left, where the difference of their distances to the centre is at most 0.25;
 * of what stays, nodes of different components and of sizes that allow a link are compared.
 
-Before that, the stars of the first EARLY bands connect most groups, and buckets that lie in
-one component are skipped, so a large group is connected by few stars and then left alone; no
-link between different components is left out.
+Before that, TURNS turns of stars, the first over EARLY bands only, connect most groups, and
+buckets that lie in one component are skipped, so a large group is connected by few stars and
+then left alone; no link between different components is left out.
 
 Every link is confirmed on the full sets, which are read again for nodes in shared buckets.
 
@@ -47,6 +46,8 @@ BINS = 128
 ROWS = 4
 #: So many bands are compared by stars alone at first, to connect what is easily connected.
 EARLY = 6
+#: Turns of stars, each with other centres, before what is left is settled exactly.
+TURNS = 3
 #: Linked: PERCENT * union <= 100 * intersection.
 PERCENT = 75
 
@@ -187,15 +188,18 @@ def _links(signed: DataFrame, docs: DataFrame) -> DataFrame:
         keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
         return rows.join(keys, "key")
 
-    def starred(rows: DataFrame) -> DataFrame:
-        """Each row of a bucket with the bucket's centre, as (key, a, n, b)."""
-        centres = rows.groupBy("key").agg(F.min("node").alias("b"))
-        return rows.withColumnRenamed("node", "a").join(centres, "key").where("a != b").select("key", "a", "n", "b")
+    def starred(rows: DataFrame, turn: int) -> DataFrame:
+        """Each row of a bucket with the bucket's centre of this turn, as (key, a, n, b)."""
+        centres = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"))).alias("c"))
+        return rows.withColumnRenamed("node", "a").join(centres.select("key", "c.b"), "key").where("a != b").select("key", "a", "n", "b")
 
     rows = buckets.select("key", "node", "n", "band")
-    links = confirmed(starred(rows.where(F.col("band") < EARLY)).select("a", "b").distinct())
+    links = confirmed(starred(rows.where(F.col("band") < EARLY), 0).select("a", "b").distinct())
+    for turn in range(1, TURNS):
+        rows = materialized(undecided(labelled(rows, components(links), "node", "part")).drop("part"), "undecided")
+        links = links.union(confirmed(starred(rows, turn).select("a", "b").distinct()))
     rows = materialized(undecided(labelled(rows, components(links), "node", "part")).drop("part"), "undecided")
-    placed = starred(rows)
+    placed = starred(rows, TURNS)
     stars = materialized(_measured(placed.select("a", "b").distinct(), sets), "stars")
     links = links.union(stars.where(_LINKED).select("a", "b"))
     labels = components(links)
