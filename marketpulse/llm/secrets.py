@@ -189,7 +189,7 @@ def fit(findings: DataFrame, path: str | None = None) -> Forest:
     sample = findings.where("label is not null and finding is not null").withColumn("at", F.row_number().over(order)).where(F.col("at") <= FINDINGS)
     rows = sample.orderBy("label", "at").collect()  # at most 2 * FINDINGS short strings
     words = dictionary(path or vocabulary_path())
-    x = np.array([features(r.finding, r.before or "", words) for r in rows]).reshape(len(rows), -1)
+    x = np.array([features(r.finding, r.before or "", words) for r in rows])
     return Forest(x, np.array([r.label for r in rows], float))
 
 
