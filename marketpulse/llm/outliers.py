@@ -145,12 +145,13 @@ def judged(docs: DataFrame) -> DataFrame:
     stats = _vector(materialized(stats, "statistics"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
-    good = stats.where("not base_failed").withColumn("all", F.lit(1))
+    stats = stats.withColumn("all", F.length("lang") >= 0)  # true in every row, but a column and no constant
+    good = stats.where("not base_failed")
     keys = ["lang", "source"]
     enough = robust_factors(good, keys).where(F.col("rows") >= LEAST).drop("rows")
     overall = robust_factors(good, ["all"]).drop("rows")
     own = _distance(stats, enough, keys).withColumnRenamed("d2", "own")
-    both = _distance(own.withColumn("all", F.lit(1)), overall, ["all"])
+    both = _distance(own, overall, ["all"])
     d2 = F.coalesce("own", "d2")
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return both.select(*base, d2.alias("d2"), (~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= CUTOFF)).alias("kept"))
