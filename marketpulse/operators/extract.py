@@ -94,6 +94,14 @@ def find_items(html: str, rule: SiteRule) -> list[dict]:
     return finder.items
 
 
+def _numbered_items(html: str, rule: SiteRule) -> list[tuple[int, dict]]:
+    """Items with their position; a page the parser can't read is one empty item at -1, a reject."""
+    try:
+        return list(enumerate(find_items(html, rule)))
+    except AssertionError:  # what the parser raises for a malformed declaration
+        return [(-1, {})]
+
+
 def _find(pages: DataFrame, rules: Sequence[SiteRule]) -> DataFrame:
     """One row per item element, with the page's other columns carried along."""
     carried = [c for c in pages.columns if c != "html"]
@@ -106,7 +114,7 @@ def _find(pages: DataFrame, rules: Sequence[SiteRule]) -> DataFrame:
             for row, (site, html) in enumerate(zip(batch["site"], batch["html"])):
                 if html is None or site not in by_site:
                     continue
-                for pos, record in enumerate(find_items(html, by_site[site])):
+                for pos, record in _numbered_items(html, by_site[site]):
                     source.append(row)
                     position.append(pos)
                     for name in FIELDS:

@@ -17,11 +17,8 @@ def market_returns(returns: DataFrame) -> DataFrame:
 
 
 def with_benchmark(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Returns joined to a benchmark on date.
-
-    A benchmark has one row per calendar day, which bounds the broadcast side.
-    """
-    return returns.join(F.broadcast(benchmark), "date")
+    """Returns joined to a benchmark on date."""
+    return returns.join(benchmark, "date")
 
 
 def beta(paired: DataFrame, key: str = "ticker") -> DataFrame:

@@ -74,7 +74,8 @@ def _store_names(batch: DataFrame) -> DataFrame:
 def prepare_batch(batch: DataFrame, as_of: Column, has_sentiment: bool = False) -> DataFrame:
     """One complete row per key, under the store's names.
 
-    The row with the lowest ``arrival_seq`` wins. Rows that miss a required column are left
+    The row with the lowest ``arrival_seq`` wins; where there is none or it ties, the first by
+    the content columns, so a key is never there twice. Rows that miss a required column are left
     out (see ``split_rejects``).
     """
     batch = _store_names(batch)
@@ -83,8 +84,8 @@ def prepare_batch(batch: DataFrame, as_of: Column, has_sentiment: bool = False)
     if missing:
         raise ValueError(f"batch lacks columns {missing}")
     valid, _ = split_rejects(batch)
-    if "arrival_seq" in batch.columns:
-        valid = top_per_key(valid, ARTICLE_KEY, [F.col("arrival_seq")])
+    first = [F.col(c) for c in ("arrival_seq", *columns) if c in batch.columns]
+    valid = top_per_key(valid, ARTICLE_KEY, first)
     return valid.select(*ARTICLE_KEY, *columns, as_of.alias("created_at"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import articles as A
 from ..operators import extract, scoring
 from ..operators.hierarchy import dashboard_join, treemap
+from ..session import materialized
 from ..sources.sites import TICKER_SITES, SiteRule
 from ..sources.store import ArticleStore
 
@@ -23,7 +24,8 @@ def collect_news(
     order inside a batch is site visiting order, then the item's position on its page.
     """
     wanted = pages.join(store.get_index_constituents(index), "ticker", "left_semi")
-    items = extract.extract_articles(wanted, rules)
+    # written once: a filter on the stored problem, and no second parse for the rejects
+    items = materialized(extract.extract_articles(wanted, rules), "items")
     visit = F.array_position(F.array(*(F.lit(r.name) for r in rules)), F.col("site"))
     found = A.drop_without_headline(extract.usable(items)).withColumn(
         "arrival_seq", visit * F.lit(1 << 32) + F.col("item_pos")

@@ -8,6 +8,8 @@ with _SUCCESS) and never touches the files it reads. One writer at a time.
 
 from __future__ import annotations
 
+import uuid
+
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,16 +63,23 @@ class ArticleStore:
     def get_ticker_metadata(self) -> DataFrame:
         return self.read("ticker_meta", TICKER_META)
 
-    def insert_articles(self, batch: DataFrame, as_of: Column, has_sentiment: bool = False) -> None:
-        """Upsert a batch; its rows without a required column are left out.
+    def insert_articles(self, batch: DataFrame, as_of: Column, has_sentiment: bool = False) -> int:
+        """Upsert a batch; its rows without a required column are kept aside and counted.
 
         The batch is written first: extraction and scoring run once, and its size decides
-        whether the store has to be shuffled.
+        whether the store has to be shuffled. Rejected rows go to a folder of their own below
+        ``rejects/article_data``; their number is returned.
         """
+        landed = materialized(batch, "landed")
+        _, rejected = upsert.split_rejects(landed)
+        rejects = rejected.count()
+        if rejects:
+            rejected.write.parquet(f"{self.base}/rejects/article_data/{uuid.uuid4().hex}")
         path = scratch_path(self.spark, "batch")
-        prepared = materialized(upsert.prepare_batch(batch, as_of, has_sentiment), "batch", path)
+        prepared = materialized(upsert.prepare_batch(landed, as_of, has_sentiment), "batch", path)
         small = small_enough(self.spark, path)
         self.replace("article_data", upsert.merge_articles(self.articles, prepared, small))
+        return rejects
 
     def insert_ticker_metadata(self, batch: DataFrame) -> None:
         self.replace("ticker_meta", upsert.upsert_ticker_meta(self.get_ticker_metadata(), batch))

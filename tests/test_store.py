@@ -190,3 +190,13 @@ def test_collect_and_dashboard_jobs(store, spark):
         "ALL/Fin/Bank": (2, 10.0, "ALL/Fin"),
         "ALL/Fin/Bank/SBIN": (3, 10.0, "ALL/Fin/Bank"),
     }
+
+
+def test_repeated_keys_without_arrival_order_stay_unique(spark, tmp_path):
+    store = ArticleStore(spark, str(tmp_path / "unique"))
+    rows = [("T", "headline", "2024-01-01 00:00:00", "s", "l1", "t1"), ("T", "headline", "2024-01-01 00:00:00", "s", "l2", "t2"), (None, "h", "2024-01-01 00:00:00", "s", "l", "t")]
+    batch = spark.createDataFrame(rows, "ticker string, headline string, date_posted string, source string, article_link string, article_text string")
+    batch = batch.withColumn("date_posted", F.to_timestamp("date_posted"))
+    rejects = [store.insert_articles(batch.select([c for c in batch.columns]), F.to_timestamp(F.lit("2024-01-02 00:00:00"))) for _ in range(3)]
+    assert rejects == [1, 1, 1]
+    assert store.articles.count() == 1
