@@ -8,17 +8,16 @@ band share a bucket. A pair at similarity 0.75 is in no common bucket with proba
 (1 - 0.75^4)^32 = 5e-6.
 
 Documents with equal sets are one node from the start, so copies never meet in a bucket.
-Inside a bucket, nodes are compared with one centre (the first by a hash), not with each other. What a star can't decide is settled exactly, because Jaccard distance is a metric:
+Inside a bucket, nodes are compared with one centre, the first by a hash, and not with each
+other. TURNS turns of stars with different centres, the first over EARLY bands only, connect most
+groups; buckets that lie in one component, or whose two nodes have been compared, are left alone.
 
-* nodes within 0.25 of the centre are linked with it and leave the bucket;
-* a node further than 0.5 can't be linked with any that left;
-* a node between 0.25 and 0.5 that isn't yet connected with the centre is compared with those
-  that left, where the difference of their distances to the centre is at most 0.25;
-* of what stays, nodes of different components and of sizes that allow a link are compared.
-
-Before that, TURNS turns of stars, the first over EARLY bands only, connect most groups, and
-buckets that lie in one component are skipped, so a large group is connected by few stars and
-then left alone; no link between different components is left out.
+What stars can't decide is settled exactly by rare shingles. Nodes of the buckets that are left
+order their shingles by how many of these nodes hold them. Two sets of n and m shingles need
+o >= 75 (n + m) / 175 in common to be linked, so the first one they share is among the first
+n - o + 1 and m - o + 1. Nodes that meet there, in different components, are compared; shingles
+that only one component holds are skipped, and nodes of a shingle's largest component aren't
+paired with each other. No link between different components is left out.
 
 Every link is confirmed on the full sets, which are read again for nodes in shared buckets.
 
@@ -34,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialized
@@ -163,58 +162,61 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 _LINKED = f"100 * inter >= {PERCENT} * total"
-#: Beyond twice the linking distance from the centre.
-_FAR = f"100 * inter < {2 * PERCENT - 100} * total"
+
+def _rare_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes in different components (part) that can be linked, by the rarest shingles of each."""
+    nodes = materialized(rows.select("node", "n", "part").distinct(), "rest")
+    held = materialized(sets.join(nodes, "node").select("node", "n", "part", F.explode("items").alias("item")), "held")
+    spread = held.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    inside = Window.partitionBy("node")
+    ranked = held.join(spread, "item").withColumn("shared", F.count(F.lit(1)).over(inside))
+    # shingles that no other node holds come first
+    ranked = ranked.withColumn("after", F.col("shared") - F.row_number().over(inside.orderBy("df", "item")) + 1)
+    # the most that can be common if this is the first common shingle, against the least partner there is
+    rare = ranked.where(f"after * 100 >= n * {PERCENT}").select("item", "node", "n", "part", "after")
+    rare = materialized(rare, "rare")
+    parts = rare.groupBy("item", "part").agg(F.count(F.lit(1)).alias("members"))
+    main = parts.groupBy("item").agg(F.max(F.struct("members", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    main = main.where("parts > 1").select("item", F.col("main.part").alias("main"))
+    other = rare.select("item", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("after").alias("left"))
+    need = f"{PERCENT} * (n + m) <= {100 + PERCENT} * least(after, left)"
+    met = materialized(rare.join(main, "item").where("part != main").drop("main"), "minor").join(other, "item").where(f"part != other and {need}")
+    return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
 def _links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between nodes, enough of them to connect all that are linked."""
     nodes = signed.where("n > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.min(F.coalesce("doc_id", F.lit(0))).alias("some_id"))
-    entries = materialized(nodes.select("node", "n", "some_id", F.posexplode("bands").alias("band", "key")), "bands")
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    nodes = materialized(nodes, "nodes")
+    keys = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    shared = materialized(keys.where("members > 1").select("key"), "shared")
+    entries = nodes.select("node", "n", "some_id", F.posexplode("bands").alias("band", "key"))
     buckets = materialized(entries.join(shared, "key"), "buckets")
     texts = docs.select("doc_id", "text").join(buckets.select("some_id").distinct(), F.coalesce("doc_id", F.lit(0)) == F.col("some_id"), "left_semi")
     sets = materialized(texts.mapInArrow(_full_sets, _SETS).groupBy("node").agg(F.first("items").alias("items")), "sets")
     def confirmed(pairs: DataFrame) -> DataFrame:
         return materialized(_measured(pairs, sets).where(_LINKED).select("a", "b"), "links")
 
-    def labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
-        """`rows` with the component of a node column; a node without links is its own."""
-        known = labels.select(F.col("node").alias(node), F.col("label").alias(name))
-        return rows.join(known, node, "left").withColumn(name, F.coalesce(name, node))
-
-    def undecided(rows: DataFrame) -> DataFrame:
-        """The rows of buckets (key) in which more than one component (part) is left."""
-        keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
-        return rows.join(keys, "key")
+    def undecided(rows: DataFrame, links: DataFrame, least: int) -> DataFrame:
+        """The rows of buckets (key) with `least` or more nodes and more than one component (part) left."""
+        known = components(links).withColumnRenamed("label", "part")
+        rows = rows.join(known, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members"))
+        return materialized(rows.join(keys.where(f"low != high and members >= {least}").select("key"), "key"), "undecided")
 
     def starred(rows: DataFrame, turn: int) -> DataFrame:
-        """Each row of a bucket with the bucket's centre of this turn, as (key, a, n, b)."""
+        """Pairs (a, b) of each node and the centre that its bucket has in this turn."""
         centres = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"))).alias("c"))
-        return rows.withColumnRenamed("node", "a").join(centres.select("key", "c.b"), "key").where("a != b").select("key", "a", "n", "b")
+        return rows.withColumnRenamed("node", "a").join(centres.select("key", "c.b"), "key").where("a != b").select("a", "b").distinct()
 
     rows = buckets.select("key", "node", "n", "band")
-    links = confirmed(starred(rows.where(F.col("band") < EARLY), 0).select("a", "b").distinct())
-    for turn in range(1, TURNS):
-        rows = materialized(undecided(labelled(rows, components(links), "node", "part")).drop("part"), "undecided")
-        links = links.union(confirmed(starred(rows, turn).select("a", "b").distinct()))
-    rows = materialized(undecided(labelled(rows, components(links), "node", "part")).drop("part"), "undecided")
-    placed = starred(rows, TURNS)
-    stars = materialized(_measured(placed.select("a", "b").distinct(), sets), "stars")
-    links = links.union(stars.where(_LINKED).select("a", "b"))
-    labels = components(links)
-    placed = placed.join(stars, ["a", "b"]).withColumn("away", 1 - F.col("inter") / F.col("total"))
-    placed = materialized(labelled(labelled(placed, labels, "a", "part"), labels, "b", "centre"), "placed")
-    # what left is connected with the centre, so only nodes that aren't yet can gain a link there
-    border = placed.where(f"not ({_LINKED}) and not ({_FAR}) and part != centre").select("key", "a", F.col("away").alias("far"))
-    close = placed.where(_LINKED).select("key", F.col("a").alias("b"), F.col("away").alias("near"))
-    # a hair more than the bound, for the last bit of the division
-    crossed = border.join(close, "key").where(f"far - near <= {1 - PERCENT / 100} + 1e-9").select("a", "b")
-    rest = undecided(placed.where(f"not ({_LINKED})").select("key", F.col("a").alias("node"), "n", "part"))
-    rest = materialized(rest, "rest")
-    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))
-    pairs = rest.withColumnRenamed("node", "a").join(other, "key").where(f"part < other and 100 * least(n, m) >= {PERCENT} * greatest(n, m)")
-    return links.union(confirmed(crossed.union(pairs.select("a", "b")).distinct()))
+    links = confirmed(starred(rows.where(F.col("band") < EARLY), 0))
+    for turn in range(1, TURNS + 1):
+        # all bands have had a star once the first turn here is over, so pairs are decided then
+        rows = undecided(rows.drop("part"), links, 2 if turn == 1 else 3)
+        links = links.union(confirmed(starred(rows, turn)))
+    rows = undecided(rows.drop("part"), links, 3)
+    return links.union(confirmed(_rare_pairs(rows, sets)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
