@@ -177,7 +177,8 @@ def _rare_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
     rare = materialized(rare, "rare")
     parts = rare.groupBy("item", "part").agg(F.count(F.lit(1)).alias("members"))
     main = parts.groupBy("item").agg(F.max(F.struct("members", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    main = main.where("parts > 1").select("item", F.col("main.part").alias("main"))
+    # written, so that a hot shingle's rows in the join below can be split
+    main = materialized(main.where("parts > 1").select("item", F.col("main.part").alias("main")), "main")
     other = rare.select("item", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("after").alias("left"))
     need = f"{PERCENT} * (n + m) <= {100 + PERCENT} * least(after, left)"
     met = materialized(rare.join(main, "item").where("part != main").drop("main"), "minor").join(other, "item").where(f"part != other and {need}")
