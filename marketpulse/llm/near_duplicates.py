@@ -24,7 +24,7 @@ Every link is confirmed on the full sets, which are read again for nodes in shar
 Defined results: null or empty text and text without words has an empty set, is linked with
 nothing and is kept. Fewer than five words are one shingle. A null doc_id never is a
 component's id unless the whole component has none. Rows that repeat a doc_id and text are
-copies. No rows give no rows. Other columns are ignored by `near_duplicates`.
+copies; `drop_near_duplicates` keeps one row of each component whatever its ids are. No rows give no rows. Other columns are ignored by `near_duplicates`.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialized
@@ -50,7 +50,7 @@ TURNS = 3
 #: Linked: PERCENT * union <= 100 * intersection.
 PERCENT = 75
 
-_SIGNED = "doc_id long, node binary, n long, bands array<long>"
+_SIGNED = "doc_id long, t1 long, t2 long, node binary, n long, bands array<long>"
 _SETS = "node binary, items array<long>"
 
 
@@ -130,12 +130,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BINS // ROWS, 0)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").slice(low, len(sets)).cast(pa.int64()),
+                    *(batch.column(c).slice(low, len(sets)).cast(pa.int64()) for c in ("doc_id", "t1", "t2")),
                     pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array(sizes),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[sizes > 0].ravel())),
                 ],
-                ["doc_id", "node", "n", "bands"],
+                ["doc_id", "t1", "t2", "node", "n", "bands"],
             )
 
 
@@ -220,17 +220,28 @@ def _links(signed: DataFrame, docs: DataFrame) -> DataFrame:
     return links.union(confirmed(_rare_pairs(rows, sets)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: one row per row of `docs`."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _text_key(text: Column) -> list[Column]:
+    """128 bits that name a text; null is a text of its own."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t1, t2, node, n) of every row, and (node, lowest, label) of the nodes that are linked or have copies."""
+    text = F.col("text").cast("string")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *_text_key(text))
     signed = materialized(narrow.mapInArrow(_sign, _SIGNED), "signed")
     labels = components(_links(signed, narrow))
     copies = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("copies"))
     grouped = copies.join(labels, "node", "left").where("copies > 1 or label is not null")
-    grouped = materialized(grouped.select("node", "lowest", F.coalesce("label", "node").alias("label")), "grouped")
+    return signed.drop("bands"), materialized(grouped.select("node", "lowest", F.coalesce("label", "node").alias("label")), "grouped")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable), kept: one row per row of `docs`."""
+    signed, grouped = _grouped(docs)
     component = grouped.groupBy("label").agg(F.min("lowest").alias("component"))
     named = grouped.join(component, "label").select("node", "component")
-    joined = signed.drop("bands").join(named, "node", "left")
+    joined = signed.join(named, "node", "left")
     smallest = F.coalesce("component", "doc_id")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), smallest.alias("component_id"), F.coalesce(F.col("doc_id") == smallest, smallest.isNull()).alias("kept")
@@ -238,10 +249,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that are kept: one of each group (rows that repeat doc_id and text count once)."""
-    spare = near_duplicates(docs).where("not kept").select(F.coalesce("doc_id", F.lit(0)).alias("__spare"), F.col("doc_id").isNull().alias("__none"))
-    spare = materialized(spare.distinct(), "spare")
-    keyed = (F.coalesce(docs["doc_id"], F.lit(0)) == F.col("__spare")) & (docs["doc_id"].isNull() == F.col("__none"))
-    left = docs.join(spare, keyed, "left_anti")
+    """One row of each group of near-duplicates, and all other rows; rows that repeat doc_id and text count once.
+
+    A group keeps its smallest doc_id (null is the largest), and of that the text whose hash is
+    smallest. What goes is named by doc_id and text, so other rows with that doc_id, or with none, stay.
+    """
+    signed, grouped = _grouped(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t1", "t2")
+    rows = materialized(signed.select("node", key.alias("key")).join(grouped.select("node", "label"), "node").select("label", "key"), "rows")
+    first = rows.groupBy("label").agg(F.min("key").alias("first"))
+    spare = rows.join(first, "label").where("key != first").select("key.*").distinct()
+    spare = materialized(spare.select(*[F.col(c).alias(f"__{c}") for c in ("none", "id", "t1", "t2")]), "spare")
+    doc_id, (t1, t2) = docs["doc_id"].cast("long"), _text_key(docs["text"].cast("string"))
+    same = (F.coalesce(doc_id, F.lit(0)) == F.col("__id")) & (doc_id.isNull() == F.col("__none")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2"))
+    left = docs.join(spare, same, "left_anti")
     again = docs.groupBy("doc_id").count().where("count > 1")
     return left if again.isEmpty() else left.dropDuplicates(["doc_id", "text"])
