@@ -1,16 +1,24 @@
 """Shards of equal row counts by balanced label propagation.
 
-Documents with equal texts are linked. Every document starts in a shard given by a hash.
-In each round a group's members in every shard look at where most of the group is (ties by
-a hash of group and shard) among shards with room, and the smaller parts move there. Room
-is a quota: a shard takes at most what brings its linked documents to its share of all rows;
-where more want in, each is let in by a hash with the probability quota / demand. A group
-larger than a shard fills one shard after the other. Rounds end when nobody moves.
-
-Unlinked documents cut no edge, so they alone even the counts out at the end: rows are
-numbered inside their shard, linked ones first, what exceeds the shard's share is numbered
-on and fills the shards that lack rows. Numbers come from row numbers inside hash slices of
-a shard plus counts per slice, so no task sorts a whole shard.
+Documents with equal texts are linked. Groups of more than 1 / LARGE of a shard (at most
+LARGE * shards of them, whose counts come to the driver) choose first, the largest first:
+as many shards as their size needs, each filled up before the next; the last part goes to
+the shard with the least room that holds it. Their rows get exact quotas by row numbers,
+counted inside hash slices. All other documents start in a shard given by a hash, in
+proportion to the room that is left.
+
+In each round a smaller group's parts look at the shard where most of the group is (ties by
+a hash that differs per round; every second round, shards with room come first) and move there.
+Parts move as wholes, up to a quota per pair of shards: what goes both ways is exchanged, the
+rest is let in as far as there is room or room becomes free. Meanwhile a shard may hold 1 / SLACK
+more than its share. Every move joins two parts, so rounds come to an end; they end when no
+group has two parts or two rounds in a row move nothing.
+
+At the end rows are numbered inside their shard, large groups first, then smaller groups one
+after the other, then unlinked documents, which cut no edge. What exceeds the shard's share is
+numbered on and fills the shards that lack rows, so unlinked documents go before groups, and
+groups go as wholes but for those at the ends of shards. Numbers come from row numbers inside hash slices of a shard plus counts per slice, so no
+task sorts a whole shard.
 
 Law `rows`: counts differ by at most one. Defined results: null text counts as empty, a null
 doc_id is a value like others, repeated rows are rows of one group, fewer rows than shards
@@ -19,6 +27,7 @@ leave shards empty, no rows give no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,8 +37,13 @@ from ..session import materialized
 from .selection import uniform
 
 SHARDS = 40
-ROUNDS = 12
 SLICES = 64
+#: A group of more than 1 / LARGE of a shard's rows is placed by its size.
+LARGE = 8
+#: While groups gather, a shard may hold 1 / SLACK more than its share.
+SLACK = 8
+#: Hash slices in which a large group's rows are numbered.
+GROUP_SLICES = 512
 
 _GROUP = ["g1", "g2"]
 
@@ -44,41 +58,102 @@ def _counts(df: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def propagate(linked: DataFrame, share: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """(row, g1, g2, shard) after the rounds; `share` is the number of rows a shard may hold."""
+def planned(sizes: list[int], room: list[int]) -> list[list[tuple[int, int]]]:
+    """Of each group, the largest first, (shard, rows) parts; `room` shrinks by them."""
+    out = []
+    for left in sizes:
+        parts = []
+        while left:
+            fits = [s for s, r in enumerate(room) if r >= left]
+            to = min(fits, key=lambda s: room[s]) if fits else max(range(len(room)), key=lambda s: room[s])
+            n = min(left, room[to])
+            room[to] -= n
+            left -= n
+            parts.append((to, n))
+        out.append(parts)
+    return out
+
+
+def quotas(demand: dict[tuple[int, int], int], room: Sequence[int]) -> dict[tuple[int, int], int]:
+    """How many rows may go from shard i to shard j, so that no shard is filled beyond its room."""
+    room = list(room)
+    out = {(i, j): min(n, demand.get((j, i), 0)) for (i, j), n in demand.items()}
+    left = {k: n - out[k] for k, n in demand.items()}
+    moved = True
+    while moved:
+        moved = False
+        for (i, j), n in sorted(left.items()):
+            some = min(n, max(0, room[j]))
+            if some:
+                out[i, j] += some
+                left[i, j] -= some
+                room[j] -= some
+                room[i] += some
+                moved = True
+    return out
+
+
+def propagate(linked: DataFrame, share: list[int]) -> DataFrame:
+    """(row, g1, g2, shard) once nothing moves; `share` is the number of these rows that a shard is to hold."""
     shards = len(share)
-    for turn in range(rounds):
-        room = [max(0, s - n) for s, n in zip(share, _counts(linked, shards))]
-        parts = linked.groupBy(*_GROUP, "shard").agg(F.count(F.lit(1)).alias("n"))
-        rank = F.struct("n", F.xxhash64(*_GROUP, "shard").alias("tie"), "shard")
-        ranked = parts.withColumn("rank", rank).withColumn("open", _at(room, "shard") > 0)
-        best = ranked.where("open").groupBy(*_GROUP).agg(F.max("rank").alias("best"))
+    state = materialized(linked.groupBy(*_GROUP, F.col("shard").alias("start")).agg(F.count(F.lit(1)).alias("n")).withColumn("shard", F.col("start")), "state")
+    turn = idle = 0
+    while idle < 2:
+        have = dict(state.groupBy("shard").agg(F.sum("n")).collect())
+        room = [s + s // SLACK - have.get(i, 0) for i, s in enumerate(share)]
+        parts = state.groupBy(*_GROUP, "shard").agg(F.sum("n").alias("n"))
+        first = _at(room, "shard") > 0 if turn % 2 else F.lit(True)
+        ranked = parts.withColumn("rank", F.struct(first.alias("first"), "n", F.xxhash64(*_GROUP, "shard", F.lit(turn)).alias("tie"), "shard"))
+        best = ranked.groupBy(*_GROUP).agg(F.max("rank").alias("best"))
         moves = ranked.join(best, _GROUP).where("best > rank").select(*_GROUP, "shard", F.col("best.shard").alias("to"), "n")
         moves = materialized(moves, "moves")
-        wanted = dict(moves.groupBy("to").agg(F.sum("n")).collect())
+        wanted = {(i, j): n for i, j, n in moves.groupBy("shard", "to").agg(F.sum("n")).collect()}
         if not wanted:
             break
-        chance = [min(1.0, room[s] / wanted[s]) if s in wanted else 0.0 for s in range(shards)]
-        let_in = F.col("to").isNotNull() & (uniform(1000 + turn, "row") < _at(chance, F.coalesce("to", F.lit(0))))
-        moved = linked.join(moves.drop("n"), [*_GROUP, "shard"], "left")
-        linked = materialized(moved.select("row", *_GROUP, F.when(let_in, F.col("to")).otherwise(F.col("shard")).alias("shard")), "linked")
-    return linked
+        allowed = quotas(wanted, room)
+        flat = [float(allowed.get((i, j), 0)) for i in range(shards) for j in range(shards)]
+        # small parts first, so that a part that doesn't fit blocks none that does
+        so_far = F.sum("n").over(Window.partitionBy("shard", "to").orderBy("n", F.xxhash64(*_GROUP), *_GROUP).rowsBetween(Window.unboundedPreceding, 0))
+        let_in = materialized(moves.withColumn("sum", so_far).where(F.col("sum") <= _at(flat, F.col("shard") * shards + F.col("to"))).select(*_GROUP, "shard", "to"), "let_in")
+        turn += 1
+        idle = idle + 1 if let_in.isEmpty() else 0
+        if idle:
+            continue
+        moved = state.join(let_in, [*_GROUP, "shard"], "left")
+        state = materialized(moved.select(*_GROUP, "start", "n", F.coalesce("to", "shard").alias("shard")), "state")
+    final = state.select(*_GROUP, "start", F.col("shard").alias("to"))
+    return linked.withColumnRenamed("shard", "start").join(final, [*_GROUP, "start"]).select("row", *_GROUP, F.col("to").alias("shard"))
+
+
+def _large_rows(rows: DataFrame, plans: list[list[tuple[int, int]]]) -> DataFrame:
+    """(row, shard) of the rows of large groups (number `large`), dealt by their plans."""
+    sliced = rows.select("row", "large", F.pmod(F.xxhash64("row", F.lit(5)), F.lit(GROUP_SLICES)).cast("int").alias("slice"))
+    sliced = materialized(sliced, "large")
+    before = Window.partitionBy("large").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sliced.groupBy("large", "slice").agg(F.count(F.lit(1)).alias("n"))  # at most LARGE * shards * GROUP_SLICES rows
+    offsets = sizes.select("large", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("large", "slice").orderBy("row"))
+    numbered = sliced.withColumn("inside", inside).join(offsets, ["large", "slice"]).withColumn("number", F.col("before") + F.col("inside") - 1)
+    plan = [(k, [0, *accumulate(n for _, n in parts[:-1])], [s for s, _ in parts]) for k, parts in enumerate(plans)]
+    plan = rows.sparkSession.createDataFrame(plan, "large int, firsts array<long>, shards array<int>")
+    dealt = numbered.join(F.broadcast(plan), "large")
+    return dealt.select("row", F.element_at("shards", F.size(F.filter("firsts", lambda x: x <= F.col("number")))).alias("shard"))
 
 
 def _numbered(placed: DataFrame) -> DataFrame:
-    """`placed` with `number`, from 0 inside each shard, linked rows first."""
-    slot = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(SLICES)).cast("int")
-    sliced = placed.withColumn("slice", F.when(F.col("linked"), slot).otherwise(slot + SLICES))
+    """`placed` with `number`, from 0 inside each shard: large groups (level 0), smaller ones (1), unlinked rows (2)."""
+    by_row, by_group = (F.pmod(h, F.lit(SLICES)).cast("int") for h in (F.xxhash64("row", F.lit(3)), F.xxhash64(*_GROUP, F.lit(3))))
+    sliced = placed.withColumn("slice", F.when(F.col("level") == 1, by_group).otherwise(by_row) + SLICES * F.col("level"))
     sliced = materialized(sliced, "sliced")
-    sizes = sliced.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))  # at most shards * 2 * SLICES rows
+    sizes = sliced.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))  # at most shards * 3 * SLICES rows
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("shard", "slice").orderBy("row")
+    inside = Window.partitionBy("shard", "slice").orderBy(*_GROUP, "row")
     joined = sliced.withColumn("inside", F.row_number().over(inside)).join(F.broadcast(offsets), ["shard", "slice"])
     return joined.withColumn("number", F.col("before") + F.col("inside") - 1).drop("before", "inside", "slice")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked: one row per row of `docs`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(
@@ -89,15 +164,29 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
         F.xxhash64(text).alias("g1"),
         F.xxhash64(F.lit(1), text).alias("g2"),
     )
-    base = materialized(base, "sized").withColumn("shard", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int"))
+    base = materialized(base, "sized")
     total = base.count()
     share = [total // shards + (s < total % shards) for s in range(shards)]
-    repeated = base.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_GROUP)
-    linked = materialized(base.join(repeated, _GROUP).select("row", *_GROUP, "shard"), "linked")
-    final = propagate(linked, share, rounds).select("row", F.col("shard").alias("moved_to"))
-    placed = base.join(final, "row", "left").select(
-        "row", "doc_id", "size", "text_crc32", F.coalesce("moved_to", "shard").alias("shard"), F.col("moved_to").isNotNull().alias("linked")
+    groups = materialized(base.groupBy(*_GROUP).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    is_large = F.col("n") * LARGE > total // shards
+    large = sorted(groups.where(is_large).collect(), key=lambda r: (-r.n, r.g1, r.g2))  # at most LARGE * shards rows
+    room = list(share)
+    plans = planned([r.n for r in large], room)
+    numbers = base.sparkSession.createDataFrame([(r.g1, r.g2, k) for k, r in enumerate(large)], "g1 long, g2 long, large int")
+    marked = base.join(F.broadcast(numbers), _GROUP, "left")
+    bounds = F.array(*[F.lit(float(x)) for x in accumulate(room[:-1])])
+    start = F.size(F.filter(bounds, lambda x: x <= uniform(7, "row") * sum(room)))
+    others = marked.where("large is null").withColumn("shard", start)
+    small = materialized(others.join(groups.where(~is_large).select(*_GROUP), _GROUP).select("row", *_GROUP, "shard"), "linked")
+    final = propagate(small, room).select("row", "shard", F.lit(1).alias("level"))
+    if large:
+        final = final.unionByName(_large_rows(marked.where("large is not null"), plans).select("row", "shard", F.lit(0).alias("level")))
+    final = final.withColumnRenamed("shard", "moved_to")
+    level = F.coalesce("level", F.lit(2))
+    placed = base.withColumn("start", start).join(final, "row", "left").select(
+        "row", "doc_id", "size", "text_crc32", *_GROUP, F.coalesce("moved_to", "start").alias("shard"), level.alias("level"), (level < 2).alias("linked")
     )
+    placed = materialized(placed, "placed")
     numbered = _numbered(placed)
     have = _counts(placed, shards)
     over = [max(0, n - s) for n, s in zip(have, share)]
