@@ -8,8 +8,9 @@ of a whole span (digit count, validity of checksums and octets, marks, first and
 character, neighbours) and of adjacent kinds score it, and dynamic programming finds the best
 segmentation of a region, boundaries and kinds together.
 
-Weights are trained on at most EXAMPLES regions per kind of base span (and as many without),
-chosen by a hash; the gold segmentation is the base spans. Training maximises the conditional
+Weights are trained on at most EXAMPLES different regions per kind of base span (and as many
+without), chosen by a hash; a region that occurs often counts once, so copies take no places.
+The gold segmentation is the base spans. Training maximises the conditional
 likelihood by stochastic gradient: expected feature counts come from the forward-backward
 recursion over the same segments. Spans that the field finds with a mean log odds of at least
 MARGIN over outside and that overlap no base span are added.
@@ -26,11 +27,14 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .selection import distinct_sample
+
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 16
 EXAMPLES = 120
@@ -278,9 +282,11 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame) -> Field:
     """The field trained on at most EXAMPLES regions per kind of base span and without one."""
-    order = Window.partitionBy("kind").orderBy(F.xxhash64("region"), "region", "low")
     examples = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_examples, "region string, low int, high int, gold string, kind string")
-    rows = examples.withColumn("at", F.row_number().over(order)).where(F.col("at") <= EXAMPLES).orderBy("at", "kind").collect()  # short strings
+    # the region without its neighbours, which are blanks
+    sample = distinct_sample(examples.withColumn("own", F.expr("substring(region, low + 1, high - low)")), "kind", "own", EXAMPLES)
+    kinds = [[r for r in sample if r.kind == k] for k in ("", *KINDS)]
+    rows = [r for turn in zip_longest(*kinds) for r in turn if r]  # kinds in turn
     weights = Field()
     if not any(r.kind for r in rows):
         return weights

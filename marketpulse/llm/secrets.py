@@ -7,8 +7,8 @@ dictionary is the whole words of a public vocabulary file, whose path is a param
 
 The forest is trained on labelled findings: (finding, before, label) rows, or, where none are
 given, candidates of the documents labelled by a strict rule (a known key prefix, or a value
-assigned to a name that says secret and that has high entropy), at most FINDINGS per label,
-chosen by a hash. Trees see bootstrap rows and a random half of the features at each split;
+assigned to a name that says secret and that has high entropy), at most FINDINGS different
+strings per label, chosen by a hash; a string that occurs often counts once. Trees see bootstrap rows and a random half of the features at each split;
 all random numbers have fixed seeds. Candidates whose mean leaf value reaches THRESHOLD are
 secrets.
 
@@ -29,9 +29,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import distinct_sample
+
 VOCABULARY = "byte_bpe_50k.json"
 FINDINGS = 3_000
 TREES = 24
@@ -185,9 +187,7 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
 
 def fit(findings: DataFrame, path: str | None = None) -> Forest:
     """The forest of at most FINDINGS labelled findings per label."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("finding", "before"), "finding", "before")
-    sample = findings.where("label is not null and finding is not null").withColumn("at", F.row_number().over(order)).where(F.col("at") <= FINDINGS)
-    rows = sample.orderBy("label", "at").collect()  # at most 2 * FINDINGS short strings
+    rows = distinct_sample(findings.where("label is not null and finding is not null").select("finding", "before", "label"), "label", "finding", FINDINGS)
     words = dictionary(path or vocabulary_path())
     x = np.array([features(r.finding, r.before or "", words) for r in rows])
     return Forest(x, np.array([r.label for r in rows], float))
