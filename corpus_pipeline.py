@@ -29,7 +29,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn at their rates; at most once each."""
+    """The documents drawn at their rates; those of scarce domains may come more than once."""
     return mixing.mixed_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -6,12 +6,16 @@ most FIT_DOCS labelled documents, gives every document a posterior per domain; i
 odds are multiplied by SOFTNESS, since the tokens of a text aren't independent.
 
 A document of n words with rate r counts r * n * posterior words to each domain. Rates start
-at 1 and are fitted by projected gradient on the squared relative misses of the domain
-totals: each step takes, for every document, the misses weighted by its posterior, and cuts
-the rate to [0, MAX_RATE]. A step needs one row of totals at the driver; a document's rate is
-an expression of its posterior and the misses so far, so nothing per document is stored or
+at 1 and are fitted by projected gradient on the squared misses of the domain totals, measured
+by the inverse of the domains' joint weights (sums of n * posterior * posterior over the
+documents whose rate is inside its bounds): each step
+takes, for every document, the misses so measured weighted by its posterior, and cuts the rate
+to [0, MAX_RATE]. A step needs one row of totals at the driver; a document's rate is an
+expression of its posterior and the misses so far, so nothing per document is stored or
 joined. The budget is what keeps the rate of ANCHOR documents near 1: its words divided by
-its target share. With MAX_RATE 1 a domain that is too small stays below its target.
+its target share. Rates above 1 repeat documents of domains below their share; there is no
+bound by default. Targets are missed where no document's posterior reaches a domain's share, and
+where STEPS steps aren't enough for TOLERANCE (a share of the budget).
 
 A document is emitted floor(rate + u) times, u in (0, 1) fixed by doc_id: rate times on
 average, and always where the rate is 1.
@@ -27,6 +31,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +45,7 @@ ANCHOR = "clean"
 FIT_DOCS = 5_000
 BUCKETS = 1 << 14
 SOFTNESS = 0.5
-MAX_RATE = 1.0
+MAX_RATE = math.inf
 STEPS = 40
 TOLERANCE = 1e-3
 SEED = 5
@@ -130,24 +135,34 @@ def rate_of(m: Column, misses: list[list[float]], max_rate: float) -> Column:
 
 
 def fitted_misses(members: DataFrame, targets: dict[str, float], max_rate: float) -> list[list[float]]:
-    """The relative misses of the domain totals at each projected-gradient step, from column `m`."""
+    """The measured misses of the domain totals at each projected-gradient step, from column `m`."""
 
-    def totals(misses: list[list[float]]) -> list[float]:
-        counted = rate_of(F.col("m"), misses, max_rate) * F.col("m.n")
-        return list(members.agg(*[F.coalesce(F.sum(counted * F.col("m.p")[k]), F.lit(0.0)) for k in range(3)]).first())
+    pairs = [(i, j) for i in range(3) for j in range(i + 1)]
+
+    def totals(misses: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        """The domain totals, and the joint weights of the domains."""
+        n, p, rate = F.col("m.n"), F.col("m.p"), F.col("rate")
+        free = F.when((rate > 0) & (rate < max_rate) | (not misses), n).otherwise(F.lit(0))
+        sums = [rate * n * p[k] for k in range(3)] + [free * p[i] * p[j] for i, j in pairs]
+        found = members.withColumn("rate", rate_of(F.col("m"), misses, max_rate)).agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in sums]).first()
+        joint = np.zeros((3, 3))
+        for (i, j), x in zip(pairs, found[3:]):
+            joint[i, j] = joint[j, i] = x
+        return np.array(found[:3], float), joint
 
     misses: list[list[float]] = []
-    have = now = totals(misses)
-    budget = have[DOMAINS.index(ANCHOR)] / targets[ANCHOR]
-    want = [targets[d] * budget for d in DOMAINS]
-    for _ in range(STEPS):
-        if max(abs(t - w) for t, w in zip(now, want)) <= TOLERANCE * budget:
-            break
-        misses.append([(t - w) / h if h else 0.0 for t, w, h in zip(now, want, have)])
-        before, now = now, totals(misses)
-        if max(abs(t - b) for t, b in zip(now, before)) <= 1e-4 * budget:  # as near as the bounds allow
+    now, joint = totals(misses)
+    budget = float(now[DOMAINS.index(ANCHOR)]) / targets[ANCHOR]
+    want = np.array([targets[d] * budget for d in DOMAINS])
+    best = (float(abs(now - want).max()), 0)
+    while len(misses) < STEPS and best[0] > TOLERANCE * budget:
+        step = np.linalg.pinv(joint, rcond=1e-12, hermitian=True) @ (now - want)
+        if not step.any():  # no rate can be changed
             break
-    return misses
+        misses.append([float(x) for x in step])
+        now, joint = totals(misses)
+        best = min(best, (float(abs(now - want).max()), len(misses)))
+    return misses[: best[1]]
 
 
 def _copies(rate: Column, doc_id: Column) -> Column:
