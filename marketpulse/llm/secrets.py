@@ -1,6 +1,8 @@
 """Secrets: wide candidates, and a random forest that removes the false positives.
 
-A candidate is a run of 16 or more characters of keys and paths that holds a digit. Its
+A candidate is a run of 16 or more characters of keys and paths that holds a digit, a value of
+8 or more characters assigned to a name that says secret (with a digit, or in quotes), or a
+block of a private key. An assignment sign ends a run, so name and value are apart. Its
 features are length, entropy, character classes and transitions between them, how much of it
 the dictionary covers, marks of paths and addresses, and the words and signs before it. The
 dictionary is the whole words of a public vocabulary file, whose path is a parameter.
@@ -10,7 +12,8 @@ given, candidates of the documents labelled by a strict rule (a known key prefix
 assigned to a name that says secret and that has high entropy), at most FINDINGS different
 strings per label, chosen by a hash; a string that occurs often counts once. Trees see bootstrap rows and a random half of the features at each split;
 all random numbers have fixed seeds. Candidates whose mean leaf value reaches THRESHOLD are
-secrets.
+secrets. Where the strict rule labels, what it labels a secret is one whatever the forest says,
+since a rare form may be missing from the sample; key blocks always are.
 
 Defined results: null text counts as empty and has none (and stays null when redacted);
 without any labelled positive nothing is a secret. Equal texts get equal findings. Rows and
@@ -41,25 +44,64 @@ DEPTH = 7
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 
-_RUN = re.compile(r"(?<![A-Za-z0-9_+/=.@~-])[A-Za-z0-9_+/=.@~-]{16,}")
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/.@~-])[A-Za-z0-9_+/.@~-]{16,}(?:={1,2}(?![A-Za-z0-9_+/=.@~-]))?")
 # Names of secret settings, and prefixes that providers give their keys.
 _NAMES = re.compile(r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)\W*$", re.I)
 _PREFIX = re.compile(r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_(?:live|test)_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{16,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.)")
-_ASSIGNED = re.compile(r"""[=:]\s*["']?$""")
+_ASSIGNED = re.compile(r"""["']?\s{0,3}[=:]\s*["']?$""")
+_VALUE = re.compile(
+    r"""(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)["']?\s{0,3}[=:]\s{0,3}"""
+    r"""(?:"([^\s"']{8,200})"|'([^\s"']{8,200})'|([A-Za-z0-9_+/.@~-]{8,}(?:={1,2}(?![A-Za-z0-9_+/=.@~-]))?))""",
+    re.I,
+)
+_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+_BODY = re.compile(r"(?:(?:\s|\\[nr])*[A-Za-z0-9+/]{16,}={0,2})+")
+
+
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of private keys: from BEGIN to the dashes after END, or to the last line of a cut one."""
+    out = []
+    for m in _BLOCK.finditer(text):
+        close = text.find("-----", m.end())
+        end = text.find("-----", close + 5) if close >= 0 and text.startswith("END ", close + 5) else -1
+        body = _BODY.search(text, m.end(), close if end >= 0 else min(len(text), m.end() + 40))
+        if body and end >= 0:
+            out.append((m.start(), end + 5))
+        elif body:
+            out.append((m.start(), _BODY.match(text, body.start()).end()))
+    return out
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of every candidate, without dots and signs at its ends."""
-    out = []
+    """(start, end) of every candidate, in order and apart; runs are without dots and signs at their ends."""
+    found = key_blocks(text)
+    for m in _VALUE.finditer(text):
+        low, high = m.span(m.lastindex)
+        while m.lastindex == 3 and high > low and text[high - 1] == ".":
+            high -= 1
+        if high - low >= 8 and (m.lastindex < 3 or re.search("[0-9]", text[low:high])):
+            found.append((low, high))
     for m in _RUN.finditer(text):
         low, high = m.span()
-        while low < high and text[low] in "=.-/+@":
+        while low < high and text[low] in ".-/+@":
             low += 1
         while low < high and text[high - 1] in ".-/@+":
             high -= 1
         if high - low >= 16 and re.search("[0-9]", m.group()):
-            out.append((low, high))
-    return out
+            found.append((low, high))
+    # blocks and values come before runs that overlap them
+    return _apart([(low, high, rank) for rank, (low, high) in enumerate(found)])
+
+
+def _apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The spans in order; of overlapping ones the first listed (smallest rank) stays."""
+    kept: list[tuple[int, int, int]] = []
+    for span in sorted(found):
+        while kept and kept[-1][1] > span[0] and kept[-1][2] > span[2]:
+            kept.pop()
+        if not kept or kept[-1][1] <= span[0]:
+            kept.append(span)
+    return [(low, high) for low, high, _ in kept]
 
 
 def entropy(value: str) -> float:
@@ -111,10 +153,19 @@ def features(value: str, before: str, words: frozenset[str]) -> list[float]:
     ]
 
 
+def _like_a_path(value: str) -> bool:
+    """Slashes between words; base64 has both cases, digits and more entropy."""
+    mixed = all(re.search(c, value) for c in ("[0-9]", "[a-z]", "[A-Z]"))
+    return "/" in value and not (mixed and "." not in value and entropy(value) >= 4.2)
+
+
 def strict_label(value: str, before: str) -> int:
     assigned = _ASSIGNED.search(before)
     named = assigned and _NAMES.search(before[: assigned.start()] + " ")
-    return int(bool(_PREFIX.match(value)) or bool(named and entropy(value) >= 3.0 and "@" not in value and "/" not in value))
+    # 16 characters or more need an entropy of 3, shorter ones as much of what they can have
+    varied = entropy(value) >= min(3.0, 0.75 * math.log2(max(2, len(value))))
+    email = re.fullmatch(r"[^@]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", value)
+    return int(bool(_BLOCK.match(value)) or bool(_PREFIX.match(value)) or bool(named and varied and not email and not _like_a_path(value)))
 
 
 class Forest:
@@ -193,15 +244,17 @@ def fit(findings: DataFrame, path: str | None = None) -> Forest:
     return Forest(x, np.array([r.label for r in rows], float))
 
 
-def secret_spans(texts: list[str], forest: Forest, words: frozenset[str]) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(number of candidates, spans of secrets) of each text."""
+def secret_spans(texts: list[str], forest: Forest, words: frozenset[str], strict: bool = False) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(number of candidates, spans of secrets) of each text; with `strict`, also what the strict rule labels."""
     spans = [candidates(t) for t in texts]
-    rows = [features(t[a:b], t[max(0, a - 40) : a], words) for t, s in zip(texts, spans) for a, b in s]
-    scores = iter(forest.score(np.array(rows)) if rows and forest.trees else [0.0] * len(rows))
-    return [(len(s), [span for span in s if next(scores) >= THRESHOLD]) for s in spans]
+    pairs = [(t[a:b], t[max(0, a - 40) : a]) for t, s in zip(texts, spans) for a, b in s]
+    rows = [features(*p, words) for p in pairs]
+    scores = forest.score(np.array(rows)) if rows and forest.trees else [0.0] * len(rows)
+    sure = iter([s >= THRESHOLD or bool(_BLOCK.match(p[0])) or strict and strict_label(*p) == 1 for s, p in zip(scores, pairs)])
+    return [(len(s), [span for span in s if next(sure)]) for s in spans]
 
 
-def scanner(forest: Forest, path: str | None = None):
+def scanner(forest: Forest, path: str | None = None, strict: bool = False):
     """A column function from text to n_candidates, n_secrets, findings (start:end, code points), redacted text."""
 
     @F.arrow_udf("struct<n_candidates: long, n_secrets: long, findings: string, redacted: string>")
@@ -210,7 +263,7 @@ def scanner(forest: Forest, path: str | None = None):
         n, secrets, found, redacted = [], [], [], []
         for low in range(0, len(texts), 500):
             values = texts.slice(low, 500).to_pylist()
-            for value, (count, spans) in zip(values, secret_spans([v or "" for v in values], forest, words)):
+            for value, (count, spans) in zip(values, secret_spans([v or "" for v in values], forest, words, strict)):
                 n.append(count)
                 secrets.append(len(spans))
                 found.append(",".join(f"{a}:{b}" for a, b in spans))
@@ -229,14 +282,14 @@ def _digest(findings: Column) -> Column:
 
 def scan_documents(docs: DataFrame, findings: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """doc_id, n_candidates, n_secrets, findings, redacted_sha256: one row per row of `docs`."""
-    scan = scanner(fit(labelled_findings(docs) if findings is None else findings, path), path)
+    scan = scanner(fit(labelled_findings(docs) if findings is None else findings, path), path, findings is None)
     scanned = docs.select("doc_id", scan(F.col("text").cast("string")).alias("s"))
     return scanned.select("doc_id", "s.n_candidates", "s.n_secrets", "s.findings", _digest(F.col("s.redacted")).alias("redacted_sha256"))
 
 
 def redact_documents(docs: DataFrame, findings: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """`docs` with every secret in `text` replaced by MASK, and `n_chars` (where there is one) counted anew."""
-    scan = scanner(fit(labelled_findings(docs) if findings is None else findings, path), path)
+    scan = scanner(fit(labelled_findings(docs) if findings is None else findings, path), path, findings is None)
     clean = docs.withColumn("text", scan(F.col("text").cast("string"))["redacted"])
     if "n_chars" not in docs.columns:
         return clean
