@@ -5,12 +5,14 @@ covariance are minimum-covariance-determinant estimates: starting from coordinat
 medians and median deviations, each concentration step keeps the share COVERED of the group's
 rows with the smallest Mahalanobis distance and estimates from them again. STEPS steps, then
 a consistency factor for the part left out. A document is rejected where its squared distance
-exceeds CUTOFF, or by the two base rules (fewer than 20 words; more than 30 % of words in
+exceeds CUTOFF, the LEVEL quantile of a chi-square variable with one degree of freedom per
+statistic, or by the two base rules (fewer than 20 words; more than 30 % of words in
 repeated 8-word windows).
 
 Each statistic's variance gets a floor (the square of what FEATURES lists), so that a
 statistic that is constant in a group, such as no symbols at all, rejects nobody for a trace
-of it. Groups with fewer than LEAST rows take the estimates of all rows together.
+of it; the floors are so small that each statistic can exceed CUTOFF by itself inside its range
+(up to 0.3 for repeats, after the base rule). Groups with fewer than LEAST rows take the estimates of all rows together.
 
 Group statistics are aggregated map-side; a group of a third of all rows is a few numbers
 per task. Estimates come back by a join on the group, of which adaptive execution splits a
@@ -30,11 +32,13 @@ from ..session import materialized
 from .arrays import let, starts, words
 
 #: Statistic -> floor of its standard deviation.
-FEATURES = {"length": 0.6, "symbols": 0.25, "lines": 0.15, "repeats": 0.1}
+FEATURES = {"length": 0.6, "symbols": 0.25, "lines": 0.08, "repeats": 0.04}
 COVERED = 0.75
 STEPS = 3
 LEAST = 50
-CUTOFF = 40.0
+LEVEL = 0.999
+#: Its chi-square quantile with four degrees of freedom.
+CUTOFF = 18.467
 MIN_WORDS = 20
 MAX_REPEATED = 30
 RUN = 8
@@ -44,7 +48,7 @@ _SHRUNK = 0.594
 
 
 def text_statistics(text: Column) -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (not blank)."""
 
     def repeated(runs: Column) -> Column:
         placed = F.sort_array(F.transform(runs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -58,15 +62,16 @@ def text_statistics(text: Column) -> Column:
         return F.struct(F.size(w).alias("n"), F.when(F.size(w) <= RUN, F.lit(0)).otherwise(let(runs, repeated)).alias("repeats"))
 
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    counts = F.struct(let(words(text), of_words).alias("w"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).alias("dup"))
+    counts = F.struct(let(words(text), of_words).alias("w"), let(lines, lambda x: F.struct(F.size(x).alias("all"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("l"))
     return let(
         counts,
         lambda c: F.struct(
             c["w"]["n"].cast("long").alias("n_words"),
             F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
             (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-            c["dup"].cast("long").alias("n_dup_lines"),
+            c["l"]["dup"].cast("long").alias("n_dup_lines"),
             c["w"]["repeats"].cast("long").alias("n_repeat_words"),
+            c["l"]["all"].cast("long").alias("n_lines"),
         ),
     )
 
@@ -78,7 +83,7 @@ def _vector(df: DataFrame) -> DataFrame:
         {
             "length": F.col("word_chars") / n,
             "symbols": F.log1p(100 * F.col("n_symbols") / n),
-            "lines": F.log1p(F.col("n_dup_lines").cast("double")) / F.log1p(n),
+            "lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
             "repeats": F.col("n_repeat_words") / n,
         }
     )
