@@ -29,13 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialized
-from .vocabularies import byte_vocabulary
+from .vocabularies import byte_vocabulary, id_type, packed, runs_of
 
 WINDOW = 2048
 END = 1
@@ -52,18 +51,16 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def encoded(docs: DataFrame, path: str | None = None, ranks: str | None = None) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit, with the end token) and their number, for every row."""
+    """doc_id, ids (packed, with the end token) and their number, for every row."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = byte_vocabulary(path, ranks)
         end = np.array([END], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for part in runs_of(batch, 1):
                 ids = [np.concatenate((vocabulary.encode(t.as_py() or ""), end)) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array(map(len, ids), pa.int64())], ["doc_id", "ids", "n"]
-                )
+                column = pa.array([packed(x, len(vocabulary.names)) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), column, pa.array(map(len, ids), pa.int64())], ["doc_id", "ids", "n"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(encode, ENCODED)
@@ -73,12 +70,13 @@ def _terms(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, token, times) of the distinct tokens of each row, by row and token."""
     sizes = np.fromiter(map(len, ids), np.int64, len(ids))
     owner = np.repeat(np.arange(len(ids), dtype=np.int64), sizes)
-    found, times = np.unique(owner << 32 | np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.int64), return_counts=True)
+    found, times = np.unique(owner << 32 | np.concatenate([*ids, np.empty(0, np.int64)]).astype(np.int64), return_counts=True)
     return found >> 32, found & 0xFFFFFFFF, times
 
 
 def _ids(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
+    kind = id_type(len(byte_vocabulary().names))
+    return [np.frombuffer(x.as_py(), kind) for x in column]
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
@@ -87,8 +85,8 @@ def token_counts(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                _, token, _ = _terms(_ids(batch.slice(at, 1000).column(0)))
+            for part in runs_of(batch, 0):
+                _, token, _ = _terms(_ids(part.column(0)))
                 if len(token):
                     if token.max() >= len(total):
                         total = np.concatenate((total, np.zeros(token.max() + 1 - len(total), np.int64)))
@@ -118,7 +116,7 @@ def _routed(rows: DataFrame, model: Bm25) -> DataFrame:
     """The rows with their two most telling tokens, and a hash for ties."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in runs_of(whole, 1)):
             ids = _ids(batch.column(1))
             row, token, times = _terms(ids)
             length = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -128,7 +126,7 @@ def _routed(rows: DataFrame, model: Bm25) -> DataFrame:
             many = np.diff(np.append(first, len(row))) > 1
             token = np.append(token[best], 0)
             one, two = token[first], np.where(many, token[first + many], -1)
-            spread = np.fromiter((zlib.crc32(b"%d" % (i or 0), zlib.crc32(x)) for i, x in zip(batch.column(0).to_pylist(), ids)), np.int64, len(ids))
+            spread = np.fromiter((zlib.crc32(b"%d" % (i.as_py() or 0), zlib.crc32(x)) for i, x in zip(batch.column(0), ids)), np.int64, len(ids))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(spread)], [*batch.schema.names, "one", "two", "spread"])
 
     return rows.mapInArrow(route, f"{ENCODED}, one long, two long, spread long")
@@ -208,7 +206,7 @@ def _packed(rows: DataFrame, model: Bm25, window: int, shard_tokens: int, shard_
             for pieces in windows:
                 offset = 0
                 for (doc_id, ids, start), size in pieces:
-                    out.append((doc_id, start, size, zlib.crc32(ids[start : start + size]), len(ids), sequence, offset))
+                    out.append((doc_id, start, size, zlib.crc32(ids[start : start + size].astype("<u4")), len(ids), sequence, offset))
                     offset += size
                 sequence += 1
 
@@ -218,7 +216,7 @@ def _packed(rows: DataFrame, model: Bm25, window: int, shard_tokens: int, shard_
             out.clear()
             return table
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in runs_of(whole, 1)):
             for doc_id, ids in zip(batch.column(0).to_pylist(), _ids(batch.column(1))):
                 whole = len(ids) // window * window
                 write([[((doc_id, ids, at), window)] for at in range(0, whole, window)])

@@ -11,9 +11,12 @@ from __future__ import annotations
 import base64
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import bpe
 
@@ -75,6 +78,26 @@ class PieceVocabulary:
         return np.array(self.model.encode(text), np.uint32)
 
 
+def runs_of(batch: pa.RecordBatch, *columns: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts or ids in these columns have about `limit` bytes, or of one long row."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    ends = np.cumsum(size)
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + limit, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def packed(ids: np.ndarray, size: int) -> bytes:
+    """Ids as little-endian integers of two bytes where the vocabulary's `size` allows it, else of four."""
+    return ids.astype(id_type(size)).tobytes()
+
+
+def id_type(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 @lru_cache(maxsize=2)
 def byte_vocabulary(path: str | None = None, ranks: str | None = None) -> ByteVocabulary:
     return ByteVocabulary(path, ranks)
