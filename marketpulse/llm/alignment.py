@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialized
 from .tokens import mixed
-from .vocabularies import byte_vocabulary, piece_vocabulary
+from .vocabularies import byte_vocabulary, id_type, packed, piece_vocabulary, runs_of
 
 SLICE_PAIRS = 1 << 22
 #: Pairs hashed by one task at a time, on average; bits a pair at each level.
@@ -48,8 +48,7 @@ SPREAD = 2
 CHUNK = 1 << 16
 FAN = 8
 #: Pairs that a task holds before it counts them together.
-HELD_PAIRS = 1 << 22
-_GROUP = 500
+HELD_PAIRS = 1 << 20
 
 ENCODED = "row long, doc_id long, a binary, b binary"
 RESULT = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -69,7 +68,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """The ids of every row in both vocabularies (little-endian unsigned 32-bit); none where their bytes aren't the text's."""
+    """The ids of every row in both vocabularies, packed; none where their bytes aren't the text's."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         byte, piece = byte_vocabulary(), piece_vocabulary()
@@ -81,11 +80,10 @@ def encoded(docs: DataFrame) -> DataFrame:
             want = b" " + text.encode()
             if b"".join([byte.names[i] for i in a.tolist()]) != want or b"".join([piece.names[i] for i in b.tolist()]) != want:
                 return b"", b""
-            return a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
+            return packed(a, len(byte.names)), packed(b, len(piece.names))
 
         for batch in batches:
-            for at in range(0, batch.num_rows, _GROUP):
-                part = batch.slice(at, _GROUP)
+            for part in runs_of(batch, 2):
                 ids = [both(t.as_py()) for t in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.binary()) for x in zip(*ids))], ["row", "doc_id", "a", "b"])
 
@@ -98,8 +96,8 @@ class Aligned:
 
     def __init__(self, a: list[bytes], b: list[bytes]) -> None:
         size_a, size_b, self.digits_a, self.digits_b = _tables()
-        self.first_a, self.a = _joined(a)
-        self.first_b, self.b = _joined(b)
+        self.first_a, self.a = _joined(a, id_type(len(size_a)))
+        self.first_b, self.b = _joined(b, id_type(len(size_b)))
         self.end_a, self.end_b = np.cumsum(size_a[self.a]), np.cumsum(size_b[self.b])
         total = int(self.end_a[-1]) if len(self.a) else 0
         in_a, in_b = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
@@ -137,10 +135,10 @@ class Aligned:
             yield flat[low : high - 1] if high > low else b""
 
 
-def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _joined(ids: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of several documents in one array, and where each begins (and the end)."""
-    first = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids], dtype=np.int64)))
-    return first, np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+    first = np.concatenate(([0], np.cumsum([len(x) // np.dtype(kind).itemsize for x in ids], dtype=np.int64)))
+    return first, np.frombuffer(b"".join(ids), kind).astype(np.int64)
 
 
 def _pair_counts(rows: DataFrame) -> DataFrame:
@@ -160,8 +158,7 @@ def _pair_counts(rows: DataFrame) -> DataFrame:
             return both, sums
 
         for batch in batches:
-            for at in range(0, batch.num_rows, _GROUP):
-                piece = batch.slice(at, _GROUP)
+            for piece in runs_of(batch, 0, 1):
                 held.append(Aligned(piece.column(0).to_pylist(), piece.column(1).to_pylist()).pairs())
                 if sum(map(len, held)) >= HELD_PAIRS:
                     known, times = merged()
@@ -291,8 +288,7 @@ def _looked_up(rows: DataFrame, known: PairHash, counts: np.ndarray, wanted: Cal
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, count, is_best = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, _GROUP):
-                part = batch.slice(at, _GROUP)
+            for part in runs_of(batch, 2, 3):
                 x = Aligned(part.column(2).to_pylist(), part.column(3).to_pylist())
                 pairs = x.pairs()
                 mine = np.flatnonzero(wanted(pairs))
