@@ -8,8 +8,8 @@ family has the digests of its children, and names its parent's family and its pl
 `climb` is one recursive query over the families. Each step takes a leaf to its parent:
 its digest is put back among its siblings and folded with them, and the siblings are
 appended to the proof. Leaves of one run share every sibling above their own level, so one
-row climbs with the (up to FAN) digests of a run and one list of siblings; each leaf's
-digest is folded by itself.
+row climbs for a run, with one list of siblings and the distinct digests that its leaves
+have reached: all untampered leaves of a run reach the same, each tampered one its own.
 
 Leaves are numbered in slices of a range partition and offset by the counts of the slices
 before, so no task sees more of a source than a slice; a run is at most FAN rows. The
@@ -149,24 +149,35 @@ def build(docs: DataFrame) -> Manifest:
 
 
 _CLIMB = f"""
-WITH RECURSIVE climb (tree, idx, folded, proof, parent, place) AS (
-  SELECT tree, idx, folded, '', parent, place FROM {{runs}}
+WITH RECURSIVE climb (tree, idx, reached, proof, parent, place) AS (
+  SELECT tree, idx, reached, X'', parent, place FROM {{runs}}
   UNION ALL
   SELECT c.tree, c.idx,
-         transform(c.folded, x -> sha2(concat(array_join(slice(f.children, 1, c.place), ''), x, array_join(slice(f.children, c.place + 2, {FAN}), '')), 256)),
-         concat(c.proof, array_join(slice(f.children, 1, c.place), ''), array_join(slice(f.children, c.place + 2, {FAN}), '')),
+         transform(c.reached, x -> unhex(sha2(concat(array_join(slice(f.children, 1, c.place), ''), lower(hex(x)), array_join(slice(f.children, c.place + 2, {FAN}), '')), 256))),
+         concat(c.proof, unhex(array_join(slice(f.children, 1, c.place), '')), unhex(array_join(slice(f.children, c.place + 2, {FAN}), ''))),
          f.parent, f.place
   FROM climb c JOIN {{families}} f ON c.parent = f.node)
-SELECT tree, idx, folded, proof FROM climb WHERE parent IS NULL
+SELECT tree, idx, reached, proof FROM climb WHERE parent IS NULL
 """
 
 
+def _start() -> Column:
+    """What each member of a run reaches first: the run's digest with its shown leaf among the others, or the lone leaf."""
+    members = F.col("members")
+
+    def among(m: Column) -> Column:
+        return digest(F.array_join(F.transform(members, lambda o: F.when(o.place == m.place, m.shown).otherwise(o.leaf)), ""))
+
+    reached = F.when(F.col("leaves") == 1, F.transform(members, lambda m: m.shown)).otherwise(
+        F.transform(members, lambda m: F.when(m.shown == m.leaf, F.col("digest")).otherwise(among(m)))
+    )
+    return F.transform(reached, lambda d: F.unhex(d))
+
+
 def climb(manifest: Manifest) -> DataFrame:
-    """tree, idx, folded, proof: per run the digest that each of its shown leaves folds to, and the digests appended."""
+    """tree, idx, reached, proof: per run what each of its distinct starts reaches at the root, and the siblings' digests (binary)."""
     spark: SparkSession = manifest.runs.sparkSession
-    members, alone = F.col("members"), F.col("leaves") == 1
-    shown = F.transform(members, lambda m: F.when(alone, m.shown).otherwise(digest(F.array_join(F.transform(members, lambda o: F.when(o.place == m.place, m.shown).otherwise(o.leaf)), ""))))
-    start = manifest.runs.select("tree", "idx", shown.alias("folded"), "parent", "place")
+    start = manifest.runs.select("tree", "idx", F.array_distinct(_start()).alias("reached"), "parent", "place")
     # A guard against endless recursion; the climb ends at the root.
     limit = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit)
@@ -180,18 +191,18 @@ def climb(manifest: Manifest) -> DataFrame:
 def manifest_proofs(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified: one row per row of `docs`."""
     manifest = build(docs)
-    runs = manifest.runs.select("tree", "idx", "members").join(climb(manifest), ["tree", "idx"])
+    runs = manifest.runs.select("tree", "idx", "members", _start().alias("start")).join(climb(manifest), ["tree", "idx"])
     whole = runs.join(manifest.subroots.select("tree", F.col("digest").alias("subroot")), "tree")
-    member = whole.select("members", "proof", "subroot", "folded", F.posexplode("members").alias("at", "m"))
-    near = F.array_join(F.col("members.leaf"), "")
-    others = F.concat(F.substring(near, F.lit(1), F.col("at") * 64), F.substring(near, F.col("at") * 64 + 65, F.lit(64 * FAN)))
-    root, folded = F.lit(manifest.root), F.get("folded", F.col("at"))
+    member = whole.select("start", "reached", "proof", "subroot", F.col("members.leaf").alias("leaves"), F.posexplode("members").alias("at", "m"))
+    others = F.concat(F.array_join(F.slice("leaves", F.lit(1), F.col("at")), ""), F.array_join(F.slice("leaves", F.col("at") + 2, F.lit(FAN)), ""))
+    own = F.array_position(F.array_distinct("start"), F.get("start", F.col("at")))
+    root, folded = F.lit(manifest.root), F.lower(F.hex(F.get("reached", (own - 1).cast("int"))))
     return member.select(
         F.col("m.doc_id").alias("doc_id"),
         F.col("m.leaf").alias("leaf"),
         "subroot",
         root.alias("root"),
-        digest(F.concat(others, F.col("proof"))).alias("proof_sha256"),
+        digest(F.concat(others, F.lower(F.hex("proof")))).alias("proof_sha256"),
         folded.alias("folded_root"),
         (folded == root).alias("verified"),
     )
