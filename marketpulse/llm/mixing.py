@@ -5,17 +5,20 @@ naive Bayes classifier over hashed tokens (words, and their last two characters)
 most FIT_DOCS labelled documents, gives every document a posterior per domain; its log
 odds are multiplied by SOFTNESS, since the tokens of a text aren't independent.
 
-A document of n words with rate r counts r * n * posterior words to each domain. Rates start
-at 1 and are fitted by projected gradient on the squared misses of the domain totals, measured
-by the inverse of the domains' joint weights (sums of n * posterior * posterior over the
-documents whose rate is inside its bounds): each step
-takes, for every document, the misses so measured weighted by its posterior, and cuts the rate
-to [0, MAX_RATE]. A step needs one row of totals at the driver; a document's rate is an
-expression of its posterior and the misses so far, so nothing per document is stored or
-joined. The budget is what keeps the rate of ANCHOR documents near 1: its words divided by
-its target share. Rates above 1 repeat documents of domains below their share; there is no
-bound by default. Targets are missed where no document's posterior reaches a domain's share, and
-where STEPS steps aren't enough for TOLERANCE (a share of the budget).
+A document of n words with rate r counts r * n * posterior words to each domain. The rates are
+the least-squares solution nearest to 1 inside [0, MAX_RATE]: they minimise the sum of
+n * (rate - 1)^2 plus the squared misses of the domain totals over SLACK of the budget, so targets are
+met to that share where rates inside the bounds can meet them, and missed by as little as can
+be where not. The solution is a projection: a rate is 1 less the multipliers of the domains
+weighted by the document's posterior, cut to the bounds, and a multiplier is its domain's
+miss over SLACK of the budget. The gradient in the multipliers is one row of totals that Spark adds up over all
+documents; it is measured by the inverse of the domains' joint weights (sums of n * posterior *
+posterior over the documents whose rate is inside its bounds), and the best of HALVINGS step lengths is taken, all
+of them measured in one pass. Nothing per document is stored or joined.
+
+The budget is what keeps the rate of ANCHOR documents near 1: its words divided by its target
+share. Rates above 1 repeat documents of domains below their share, at most MAX_RATE times. A
+domain with less than LEAST_SHARE of all words isn't there to be mixed: its total is left as it is, and `missed_shares` says by how much.
 
 A document is emitted floor(rate + u) times, u in (0, 1) fixed by doc_id: rate times on
 average, and always where the rate is 1.
@@ -30,6 +33,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -45,8 +49,13 @@ ANCHOR = "clean"
 FIT_DOCS = 5_000
 BUCKETS = 1 << 14
 SOFTNESS = 0.5
-MAX_RATE = math.inf
+MAX_RATE = 8.0
+#: A domain with a smaller share of all words (in posteriors) is out of reach.
+LEAST_SHARE = 1e-3
+SLACK = 1e-5
 STEPS = 40
+HALVINGS = 12
+#: What SLACK leaves of the misses where rates inside the bounds can meet the targets, as a share of the budget.
 TOLERANCE = 1e-3
 SEED = 5
 #: Log odds are whole multiples of 1 / UNIT, below _RAISE / UNIT in size.
@@ -95,17 +104,23 @@ def membership(text: Column, prior: list[float], odds: list[list[int]]) -> Colum
     """Struct of n (words) and p (posteriors in the order of DOMAINS) of a non-null text.
 
     Both sums run in one pass, as the halves of one 64-bit number; each weight is raised by
-    _RAISE to keep the halves apart. Texts of more than _PACKED words take a pass per sum.
+    _RAISE to keep the halves apart. Runs of _PACKED words are summed like this, then added up.
     """
     raised = [[o + _RAISE for o in side] for side in odds]
-    both, first, second = (F.from_json(F.lit(json.dumps(w)), "array<long>") for w in ([(a << 32) + b for a, b in zip(*raised)], *raised))
+    weights = F.from_json(F.lit(json.dumps([(a << 32) + b for a, b in zip(*raised)])), "array<long>")
 
-    def summed(found: Column, weights: Column) -> Column:
+    def halves(found: Column) -> Column:
         def add(s: Column, w: Column) -> Column:
             word, end = _buckets(w)
             return s + F.get(weights, word) + F.get(weights, end)
 
-        return F.aggregate(found, F.lit(0).cast("long"), add)
+        packed = F.aggregate(found, F.lit(0).cast("long"), add)
+        return let(packed, lambda s: F.array(F.shiftright(s, 32), s.bitwiseAND(F.lit((1 << 32) - 1))))
+
+    def summed(found: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.floor(F.size(found) / _PACKED).cast("int"))
+        none = F.array(F.lit(0).cast("long"), F.lit(0).cast("long"))
+        return F.aggregate(runs, none, lambda s, k: let(halves(F.slice(found, k * _PACKED + 1, F.lit(_PACKED))), lambda h: F.array(s[0] + h[0], s[1] + h[1])))
 
     def posterior(sums: Column, n: Column) -> Column:
         logits = [F.lit(p) + SOFTNESS / UNIT * (sums[k] - 2 * _RAISE * n) for k, p in enumerate(prior)]
@@ -117,52 +132,76 @@ def membership(text: Column, prior: list[float], odds: list[list[int]]) -> Colum
         return let(F.array(F.lit(0.0), *logits), softmax)
 
     def of_words(found: Column) -> Column:
-        halves = let(summed(found, both), lambda s: F.array(F.shiftright(s, 32), s.bitwiseAND(F.lit((1 << 32) - 1))))
-        sums = F.when(F.size(found) <= _PACKED, halves).otherwise(F.array(summed(found, first), summed(found, second)))
         n = F.size(found).cast("long")
-        return F.struct(n.alias("n"), let(sums, lambda s: posterior(s, n)).alias("p"))
+        return F.struct(n.alias("n"), let(summed(found), lambda s: posterior(s, n)).alias("p"))
 
     return let(words(text), of_words)
 
 
-def rate_of(m: Column, misses: list[list[float]], max_rate: float) -> Column:
-    """The rate of a document with membership `m` after steps with these misses."""
-    rate = F.lit(1.0)
-    for miss in misses:
-        step = sum((m["p"][k] * F.lit(x) for k, x in enumerate(miss)), F.lit(0.0))
-        rate = F.least(F.lit(max_rate), F.greatest(F.lit(0.0), rate - step))
-    return F.when(m["n"] == 0, F.lit(1.0)).otherwise(rate)
-
+def rate_of(m: Column, multipliers: Sequence[float], max_rate: float) -> Column:
+    """The rate of a document with membership `m`; without words 1."""
+    pull = sum((m["p"][k] * F.lit(float(x)) for k, x in enumerate(multipliers)), F.lit(0.0))
+    return F.when(m["n"] == 0, F.lit(1.0)).otherwise(F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), F.lit(1.0) - pull)))
 
-def fitted_misses(members: DataFrame, targets: dict[str, float], max_rate: float) -> list[list[float]]:
-    """The measured misses of the domain totals at each projected-gradient step, from column `m`."""
 
+def fitted_multipliers(members: DataFrame, targets: dict[str, float], max_rate: float, slack: float = SLACK) -> list[float]:
+    """The multipliers of the domains (0 where out of reach), from column `m`."""
     pairs = [(i, j) for i in range(3) for j in range(i + 1)]
 
-    def totals(misses: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
-        """The domain totals, and the joint weights of the domains."""
-        n, p, rate = F.col("m.n"), F.col("m.p"), F.col("rate")
-        free = F.when((rate > 0) & (rate < max_rate) | (not misses), n).otherwise(F.lit(0))
-        sums = [rate * n * p[k] for k in range(3)] + [free * p[i] * p[j] for i, j in pairs]
-        found = members.withColumn("rate", rate_of(F.col("m"), misses, max_rate)).agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in sums]).first()
-        joint = np.zeros((3, 3))
-        for (i, j), x in zip(pairs, found[3:]):
-            joint[i, j] = joint[j, i] = x
-        return np.array(found[:3], float), joint
-
-    misses: list[list[float]] = []
-    now, joint = totals(misses)
-    budget = float(now[DOMAINS.index(ANCHOR)]) / targets[ANCHOR]
+    def measured(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """For each vector of multipliers: domain totals, joint weights of the domains, distance of the rates from 1."""
+        n, p, sums = F.col("m.n"), F.col("m.p"), []
+        for x in tried:
+            rate = rate_of(F.col("m"), x, max_rate)
+            free = F.when((rate > 0) & (rate < max_rate), n).otherwise(F.lit(0))
+            sums += [rate * n * p[k] for k in range(3)] + [free * p[i] * p[j] for i, j in pairs] + [n * (rate - 1) * (rate - 1)]
+        found = np.array(members.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in sums]).first(), float).reshape(len(tried), -1)
+        joint = np.zeros((len(tried), 3, 3))
+        for at, (i, j) in enumerate(pairs):
+            joint[:, i, j] = joint[:, j, i] = found[:, 3 + at]
+        return [(row[:3], square, float(row[-1])) for row, square in zip(found, joint)]
+
+    x = np.zeros(3)
+    now, joint, far = measured([x])[0]
+    budget = now[DOMAINS.index(ANCHOR)] / targets[ANCHOR]
     want = np.array([targets[d] * budget for d in DOMAINS])
-    best = (float(abs(now - want).max()), 0)
-    while len(misses) < STEPS and best[0] > TOLERANCE * budget:
-        step = np.linalg.pinv(joint, rcond=1e-12, hermitian=True) @ (now - want)
-        if not step.any():  # no rate can be changed
+    inside = np.flatnonzero(now >= LEAST_SHARE * now.sum())
+    if DOMAINS.index(ANCHOR) not in inside or not budget:
+        return [0.0, 0.0, 0.0]
+    width = slack * budget
+
+    def gradient(x: np.ndarray, now: np.ndarray) -> np.ndarray:
+        return (now - want - width * x)[inside]
+
+    def height(x: np.ndarray, now: np.ndarray, far: float) -> float:
+        """What the multipliers maximise: the least-squares sum's dual."""
+        return far / 2 + float(x @ (now - want)) - width / 2 * float(x @ x)
+
+    high = height(x, now, far)
+    for _ in range(STEPS):
+        g = gradient(x, now)
+        if abs(g).max() <= 1e-3 * width:
+            break
+        step = np.zeros(3)
+        step[inside] = np.linalg.solve(joint[np.ix_(inside, inside)] + width * np.eye(len(inside)), g)
+        tried = [x + step / 2**k for k in range(HALVINGS)]
+        after = measured(tried)
+        heights = [height(t, a[0], a[2]) for t, a in zip(tried, after)]
+        best = int(np.argmax(heights))
+        if heights[best] <= high:
             break
-        misses.append([float(x) for x in step])
-        now, joint = totals(misses)
-        best = min(best, (float(abs(now - want).max()), len(misses)))
-    return misses[: best[1]]
+        x, (now, joint, far), high = tried[best], after[best], heights[best]
+    return [float(v) for v in x]
+
+
+def missed_shares(rated: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """domain, target, share, missed: the shares of the words that the rates of `document_rates` give, against the targets."""
+    words_of = [F.coalesce(F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")), F.lit(0.0)) for d in DOMAINS]
+    total = F.array_compact(F.array(*[F.col(d) for d in DOMAINS]))
+    all_words = F.aggregate(total, F.lit(0.0), lambda s, v: s + v)
+    one = rated.agg(*[w.alias(d) for w, d in zip(words_of, DOMAINS)])
+    rows = F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), F.lit(targets[d]).alias("target"), F.try_divide(F.col(d), all_words).alias("share")) for d in DOMAINS]))
+    return one.select(rows.alias("r")).select("r.*", (F.col("r.target") - F.col("r.share")).alias("missed"))
 
 
 def _copies(rate: Column, doc_id: Column) -> Column:
@@ -173,20 +212,17 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     """doc_id, n_tokens, p_clean, p_toxic, p_low, rate, copies: one row per row of `docs`."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     members = materialized(narrow.select("doc_id", membership(F.col("text"), *log_odds(narrow, labels)).alias("m")), "members")
-    rated = members.withColumn("rate", rate_of(F.col("m"), fitted_misses(members, targets, max_rate), max_rate))
+    rated = members.withColumn("rate", rate_of(F.col("m"), fitted_multipliers(members, targets, max_rate), max_rate))
     p = [F.col("m.p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)]
     return rated.select("doc_id", F.col("m.n").alias("n_tokens"), *p, "rate", _copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float = MAX_RATE) -> DataFrame:
-    """`docs`, each row as often as its copies say."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    model = log_odds(narrow, labels)
-    members = materialized(narrow.select(membership(F.col("text"), *model).alias("m")), "members")
-    misses = fitted_misses(members, targets, max_rate)
+    """`docs`, each row as often as its copies say; rows are written with their membership, which is computed once."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    copies = let(membership(text, *model), lambda m: _copies(rate_of(m, misses, max_rate), F.col("doc_id").cast("long")))
-    if max_rate <= 1:
-        return docs.where(copies >= 1)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.explode(F.array_repeat(F.lit(0), copies)))
-    return whole.select("doc.*")
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    members = materialized(docs.select(whole.alias("doc"), F.col("doc_id").cast("long").alias("id"), membership(text, *log_odds(narrow, labels)).alias("m")), "members")
+    multipliers = fitted_multipliers(members.select("m"), targets, max_rate)
+    copies = _copies(rate_of(F.col("m"), multipliers, max_rate), F.col("id"))
+    return members.select("doc", F.explode(F.array_repeat(F.lit(0), copies))).select("doc.*")
