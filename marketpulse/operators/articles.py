@@ -9,12 +9,14 @@ from ..schemas import SCORE_COLUMNS
 
 
 def filter_articles(
-    articles: DataFrame, has_sentiment: bool = True, after_date: str | None = None
+    articles: DataFrame, has_sentiment: bool = True, after_date: str | None = None, ticker: str | None = None
 ) -> DataFrame:
     """``has_sentiment=False`` keeps unscored rows only; True applies no filter.
 
-    ``date_posted`` is text and compares as text.
+    ``date_posted`` is text and compares as text. ``ticker`` keeps the news of one stock.
     """
+    if ticker is not None:
+        articles = articles.where(F.col("ticker") == F.lit(ticker))
     if not has_sentiment:
         articles = articles.where(F.col("compound_sentiment").isNull())
     if after_date is not None:
@@ -28,12 +30,13 @@ def get_articles(
     latest: bool = True,
     has_sentiment: bool = True,
     after_date: str | None = None,
+    ticker: str | None = None,
 ) -> DataFrame:
-    """The n latest or oldest articles (all of them for n=None).
+    """The n latest or oldest articles (all of them for n=None), of one stock if a ticker is given.
 
     Equal dates are ordered by ticker, headline and arrival, so the cut is repeatable.
     """
-    kept = filter_articles(articles, has_sentiment, after_date)
+    kept = filter_articles(articles, has_sentiment, after_date, ticker)
     if n is None:
         return kept
     posted = F.col("date_posted")

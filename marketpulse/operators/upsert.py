@@ -16,6 +16,8 @@ from ..schemas import (
 )
 from .ordering import top_per_key
 
+META_REQUIRED = ("ticker", "sector", "industry", "companyName")
+
 
 def split_rejects(batch: DataFrame, required: Sequence[str] = ARTICLE_REQUIRED) -> tuple[DataFrame, DataFrame]:
     """(rows that have every required column, rows that lack one)."""
@@ -30,30 +32,16 @@ def upsert(
     batch: DataFrame,
     keys: Sequence[str],
     replaced: Sequence[str],
-    small_batch: bool = False,
 ) -> DataFrame:
     """Merge of a keyed store with a batch that has one row per key.
 
     ``replaced`` columns take the batch's value, nulls included, wherever the batch has the
     key; all other columns keep the stored value. Both sides are unique per key, so no join
     here can skew.
-
-    A full outer join shuffles the whole store. With ``small_batch`` (the caller has checked
-    its size) the batch is broadcast instead and the store is only scanned: once to update
-    its rows, once by key to tell which batch rows are new.
     """
     keys = list(keys)
     incoming = batch.select(*keys, *(F.col(c).alias(f"__new_{c}") for c in replaced), F.lit(True).alias("__hit"))
-    if not small_batch:
-        return _merged(store.join(incoming, keys, "full_outer"), store, keys, replaced)
-    updated = _merged(store.join(F.broadcast(incoming), keys, "left"), store, keys, replaced)
-    known = store.select(*keys).join(F.broadcast(incoming.select(*keys)), keys, "left_semi")
-    new = incoming.join(known, keys, "left_anti")
-    blank = [
-        F.lit(None).cast(f.dataType).alias(f.name) for f in store.schema.fields if f.name not in keys
-    ]
-    added = _merged(new.select("*", *blank), store, keys, replaced)
-    return updated.unionByName(added)
+    return _merged(store.join(incoming, keys, "full_outer"), store, keys, replaced)
 
 
 def _merged(joined: DataFrame, store: DataFrame, keys: Sequence[str], replaced: Sequence[str]) -> DataFrame:
@@ -89,13 +77,13 @@ def prepare_batch(batch: DataFrame, as_of: Column, has_sentiment: bool = False)
     return valid.select(*ARTICLE_KEY, *columns, as_of.alias("created_at"))
 
 
-def merge_articles(store: DataFrame, prepared: DataFrame, small_batch: bool = False) -> DataFrame:
+def merge_articles(store: DataFrame, prepared: DataFrame) -> DataFrame:
     """Next article snapshot from a prepared batch: it wins over the store.
 
     Without scores in the batch the stored scores survive; with scores they are overwritten.
     """
     replaced = [c for c in prepared.columns if c not in ARTICLE_KEY]
-    return upsert(store, prepared, ARTICLE_KEY, replaced, small_batch)
+    return upsert(store, prepared, ARTICLE_KEY, replaced)
 
 
 def upsert_articles(store: DataFrame, batch: DataFrame, as_of: Column, has_sentiment: bool = False) -> DataFrame:
@@ -105,7 +93,7 @@ def upsert_articles(store: DataFrame, batch: DataFrame, as_of: Column, has_senti
 
 def upsert_ticker_meta(store: DataFrame, batch: DataFrame) -> DataFrame:
     """Next metadata snapshot: whole rows replaced, the last arrival per ticker wins."""
-    valid, _ = split_rejects(batch, ("ticker", "sector", "industry", "companyName"))
+    valid, _ = split_rejects(batch, META_REQUIRED)
     latest = top_per_key(valid, ["ticker"], [F.col("arrival_seq").desc()])
     return upsert(store, latest, ["ticker"], ["sector", "industry", "mCap", "companyName"])
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from marketpulse.operators import dedup, governance, hierarchy, ordering, prices, upsert
 from marketpulse.plans import news
+from marketpulse.sources.store import ArticleStore
 from marketpulse.sources.views import Views
 
 
@@ -128,11 +129,17 @@ def test_upsert_is_idempotent_with_unique_keys(spark, small):
     assert once.exceptAll(twice).isEmpty() and twice.exceptAll(once).isEmpty()
 
 
-def test_small_batch_merge_equals_full_merge_without_shuffling_the_store(spark, small):
+def test_upsert_reads_only_the_folders_of_its_keys(spark, small, tmp_path):
     v = Views(spark, small)
-    store = news.stored(v)
+    store = ArticleStore(spark, str(tmp_path), folders=32)
+    store.replace("article_data", news.stored(v).drop("arrival_seq"))
+    path, folders = store._newest_articles()
     prepared = upsert.prepare_batch(news.batch(v), news.as_of())
-    full, light = upsert.merge_articles(store, prepared), upsert.merge_articles(store, prepared, small_batch=True)
-    assert full.exceptAll(light).isEmpty() and light.exceptAll(full).isEmpty()
-    flat = v.articles().drop("arrival_seq")
-    assert "SortMergeJoin" not in plan(upsert.merge_articles(flat, prepared, small_batch=True))
+    full = upsert.merge_articles(store.articles, prepared)
+    touched = [r.b for r in prepared.select(store._bucket(folders).alias("b")).distinct().limit(3).collect()]
+    part = store._in_folders(path, touched)
+    assert "PartitionFilters: [isnotnull(bucket" in plan(part) or "bucket#" in plan(part).split("PartitionFilters", 1)[1][:80]
+    assert 0 < part.count() < store.articles.count() == news.stored(v).count()
+    own = prepared.where(store._bucket(folders).isin(touched))
+    merged = upsert.merge_articles(part, own)
+    assert merged.exceptAll(full.where(store._bucket(folders).isin(touched))).isEmpty()

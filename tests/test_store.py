@@ -200,3 +200,50 @@ def test_repeated_keys_without_arrival_order_stay_unique(spark, tmp_path):
     rejects = [store.insert_articles(batch.select([c for c in batch.columns]), F.to_timestamp(F.lit("2024-01-02 00:00:00"))) for _ in range(3)]
     assert rejects == [1, 1, 1]
     assert store.articles.count() == 1
+
+
+def test_an_upsert_rewrites_only_the_folders_of_its_keys(spark, tmp_path):
+    store = ArticleStore(spark, str(tmp_path / "folders"), folders=64)
+    rows = [(f"T{i % 50}", f"headline {i}", f"2024-01-{i % 28 + 1:02d}", "s", "l", i) for i in range(4000)]
+    store.insert_articles(unscored(spark, rows), when("2024-02-01"))
+    table = tmp_path / "folders" / "article_data"
+    before = {p: (p.stat().st_mtime_ns, p.read_bytes()) for p in table.rglob("*.parquet")}
+    assert len(before) == 64
+    jobs.compute_and_update_sentiment(store, scoring.score_with_lexicon, when("2024-03-01"), n=20)
+    after = {p: p.stat().st_mtime_ns for p in table.rglob("*.parquet")}
+    same = [p for p in before if after.get(p) == before[p][0]]
+    assert 64 - 20 <= len(same) < 64 and all(p.read_bytes() == before[p][1] for p in same)
+    assert store.articles.count() == 4000 and store.articles.where("compound_sentiment is not null").count() == 20
+    assert len(after) == 64  # one file a folder
+
+
+def test_other_folder_count_keeps_the_rows(filled):
+    before = sorted(map(tuple, filled.articles.collect()), key=str)
+    filled.relayout(3)
+    assert sorted(map(tuple, filled.articles.collect()), key=str) == before
+    filled.insert_articles(filled.articles.withColumn("arrival_seq", F.lit(1)), when("2023-02-01"))
+    assert filled.articles.count() == len(before)
+    assert filled._newest_articles()[1] == 3
+
+
+def test_retention(filled, tmp_path):
+    assert filled.forget_articles("2023-01-03") == 2
+    assert {r.ticker for r in filled.articles.collect()} == {"MSFT", "AMZN"}
+    assert filled.forget_articles("2023-01-03") == 0
+
+
+def test_old_snapshots_expire_after_their_readers(store, spark):
+    schema = "ticker string, sector string, industry string, mCap double, companyName string, arrival_seq int"
+    meta = spark.createDataFrame(META, schema)
+    assert store.insert_ticker_metadata(meta) == 0
+    reader = store.get_ticker_metadata()
+    assert store.insert_ticker_metadata(meta.withColumn("sector", F.when(F.col("ticker") == "AAPL", F.col("sector")))) == 1
+    assert store.expire_snapshots("ticker_meta", 0) == []  # replaced just now: a reader may still hold it
+    assert reader.count() == 2
+    assert store.expire_snapshots("ticker_meta", 1 << 50) == [1]
+    assert store._snapshots("ticker_meta") == [2] and store.get_ticker_metadata().count() == 2
+    assert store.expire_rejects("ticker_meta", 0) == 0 and store.expire_rejects("ticker_meta", 1 << 50) == 1
+
+
+def test_news_of_one_stock(filled):
+    assert [r.headline for r in filled.get_articles(ticker="MSFT").collect()] == ["Microsoft News"]
