@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from marketpulse.operators.ordering import top_per_key
 from marketpulse.schemas import ARTICLE_KEY, SCORE_COLUMNS
+from marketpulse.sources.store import ArticleStore
 from marketpulse.streaming import ingest
 
 SCHEMA = (
@@ -77,3 +78,40 @@ def test_closed_windows_equal_the_batch_result(spark, tmp_path):
     )
     # The newest article is of the 5th: with a day of patience, days to the 3rd are closed.
     assert got == [("2024-01-01", 0.1, 1, 1), ("2024-01-02", 0.2, 1, 1), ("2024-01-03", 0.3, 1, 2)]
+
+
+def test_repeats_across_batches_restart_and_compaction(spark, tmp_path):
+    """Three micro-batches with repeats, one restart; a read after compaction touches later arrivals only."""
+    store = ArticleStore(spark, str(tmp_path / "store"), folders=8)
+    schema = SCHEMA + ", scraped_at timestamp"
+    none = (None,) * 4
+
+    def land_at(rows, moment):
+        spark.createDataFrame(rows, SCHEMA).withColumn("scraped_at", F.to_timestamp(F.lit(moment))).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = ingest.without_repeats(ingest.file_stream(spark, str(tmp_path / "in"), schema), "scraped_at").drop("scraped_at")
+        ingest.append_arrivals(stream, f"{tmp_path}/arrivals", f"{tmp_path}/checkpoint", F.to_timestamp(F.lit("2024-05-01"))).awaitTermination()
+        return spark.read.parquet(f"{tmp_path}/arrivals")
+
+    a, b = ("A", "h", "2024-01-01", "s", "l", *none, 1), ("B", "h", "2024-01-01", "s", "l", *SCORES, 2)
+    land_at([a, a, b], "2024-01-01 10:00:00")
+    assert run().count() == 2
+    land_at([a, b], "2024-01-01 11:00:00")  # said again, after a restart
+    assert run().count() == 2
+    assert ingest.compact(store, f"{tmp_path}/arrivals") == 0
+    assert store.articles.count() == 2
+    land_at([("A", "h", "2024-01-02", "s", "moved", *none, 3), b, ("C", "h", "2024-01-01", "s", "l", *none, 4)], "2024-01-01 12:00:00")
+    assert run().count() == 4
+    now = ingest.current(store, f"{tmp_path}/arrivals")
+    files = {f.split("/arrivals/")[1].split("/")[0] for f in now.inputFiles() if "/arrivals/" in f}
+    read = ingest._arrivals_after(spark, f"{tmp_path}/arrivals", 0)
+    (later,) = {r.batch_id for r in read.select("batch_id").distinct().collect()}  # batches without data have numbers too
+    assert later > 0 and files
+    assert "PartitionFilters: [isnotnull(batch_id" in read._jdf.queryExecution().executedPlan().toString()
+    got = {r.ticker: (r.article_link, r.compound_sentiment is not None) for r in now.collect()}
+    assert got == {"A": ("moved", False), "B": ("l", True), "C": ("l", False)}
+    assert ingest.compact(store, f"{tmp_path}/arrivals") == later
+    assert {r.ticker: r.article_link for r in store.articles.collect()} == {"A": "moved", "B": "l", "C": "l"}
+    assert ingest.compact(store, f"{tmp_path}/arrivals") == later  # nothing new
+    assert ingest.current(store, f"{tmp_path}/arrivals").count() == 3
