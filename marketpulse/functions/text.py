@@ -42,19 +42,3 @@ def dot_link(link: Column, root: str) -> Column:
 def search_query(text: Column) -> Column:
     """Blanks become plus signs."""
     return F.replace(text, F.lit(" "), F.lit("+"))
-
-
-def _captured(text: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-
-
-def redirect_target(body: Column) -> Column:
-    """Where a redirect page points to, or null.
-
-    The first ``a rel=nofollow`` with a link wins; else the decoded argument of
-    ``window.location.replace``.
-    """
-    rel_first = _captured(body, r"""<a\b[^>]*\brel=["']?nofollow\b[^>]*\bhref=["']([^"'>]*)""")
-    href_first = _captured(body, r"""<a\b[^>]*\bhref=["']([^"'>]*)["'][^>]*\brel=["']?nofollow\b""")
-    script = _captured(body, r"""window\.location\.replace\(['"](https?://.*?)['"]\)""")
-    return F.coalesce(rel_first, href_first, F.try_url_decode(script))

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions import redirects
 from ..functions import text as T
 from ..operators import extract
 from ..session import scratch_path
-from ..sources import landed, sites
+from ..sources import bulk, landed, sites
 from ..sources.views import Views
 from .registry import query
 from .sql_views import with_views
@@ -191,7 +192,37 @@ def redirect_target(v: Views) -> DataFrame:
         )
         .otherwise("")
     )
-    return v.pages().select("page_id", T.redirect_target(F.concat("html", tail)).alias("target"))
+    return v.pages().select("page_id", redirects.redirect_target(F.concat("html", tail)).alias("target"))
+
+
+# --- zipped reports ---------------------------------------------------------------------------------
+@query(
+    with_views(
+        "px",
+        body="""SELECT 'pr' || strftime(date, '%Y%m') || '.zip' AS archive, 'etf' || strftime(date, '%Y%m%d') || '.csv' AS member,
+  ticker AS symbol, close, NULL AS problem FROM px WHERE year(date) = 1998
+UNION ALL SELECT DISTINCT 'pr' || strftime(date, '%Y%m') || '-cut.zip', NULL, NULL, NULL, 'unreadable archive'
+FROM px WHERE year(date) = 1998""",
+    )
+)
+def bulk_report(v: Views) -> DataFrame:
+    """A year's prices as monthly archives of daily reports, each month once more cut off, read back."""
+    priced = v.prices().where(F.year("date") == 1998)
+    rows = priced.select(
+        F.concat(F.lit("pr"), F.date_format("date", "yyyyMM"), F.lit(".zip")).alias("archive"),
+        F.concat(F.lit("etf"), F.date_format("date", "yyyyMMdd"), F.lit(".csv")).alias("member"),
+        F.struct(F.col("ticker").alias("SYMBOL"), F.col("close").cast("string").alias("CLOSE_PRICE")).alias("fields"),
+    )
+    folder = scratch_path(v.spark, "reports")
+    bulk.write_archives(rows, folder, cut_copies=True)
+    found = bulk.read_archives(v.spark, folder, "etf*.csv")
+    return found.select(
+        "archive",
+        "member",
+        F.col("fields").getItem("SYMBOL").alias("symbol"),
+        F.col("fields").getItem("CLOSE_PRICE").cast("decimal(12,4)").alias("close"),
+        "problem",
+    )
 
 
 # --- dates ------------------------------------------------------------------------------------------
