@@ -175,11 +175,27 @@ def index_values(combined: DataFrame, base_value: float = BASE_VALUE, index: str
     return live.withColumn("index_value", value).drop("__full", "n_live")
 
 
+def on_index_days(values: DataFrame, payments: DataFrame, index: str = "index_name", amount: str = "dividend") -> DataFrame:
+    """Payments summed on the first index day on or after theirs; ``pending`` marks those after the last one, under their own date.
+
+    Days and payments of an index are merged into one series, in which each payment looks
+    forward to the next day, so no payment meets all days.
+    """
+    days = values.select(index, "date", F.lit(None).cast("double").alias(amount), F.lit(True).alias("__day"))
+    paid = payments.select(index, "date", F.col(amount).cast("double").alias(amount), F.lit(False).alias("__day"))
+    ahead = Window.partitionBy(index).orderBy("date").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    moved = days.unionByName(paid).withColumn("__next", F.min(F.when(F.col("__day"), F.col("date"))).over(ahead))
+    late = F.col("__next").isNull()
+    return moved.where(~F.col("__day")).groupBy(index, F.coalesce("__next", "date").alias("date"), late.alias("pending")).agg(F.sum(amount).alias(amount))
+
+
 def total_return(values: DataFrame, dividends: DataFrame, index: str = "index_name") -> DataFrame:
-    """Values with dividends paid that day reinvested: compounds (V_t + D_t) / V_{t-1}.
+    """Values with dividends reinvested on the first index day on or after their own: compounds (V_t + D_t) / V_{t-1}.
 
-    ``dividends`` has the cash paid per index and day, in the same money as ``combined``.
+    ``dividends`` has the cash paid per index and day, in the same money as ``combined``. What
+    is paid up to the base day comes before the index; what is paid after its last day is pending.
     """
+    dividends = on_index_days(values, dividends, index).where("not pending").drop("pending")
     days = Window.partitionBy(index).orderBy("date")
     now, paid = F.col("combined").cast("double"), F.coalesce(F.col("dividend").cast("double"), F.lit(0.0))
     growth = F.coalesce(F.try_divide(now + paid, F.lag(now).over(days)), F.lit(1.0))

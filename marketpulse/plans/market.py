@@ -366,11 +366,14 @@ TOTAL_RETURN_VIEWS = """, divs AS (
            total_shares * ff_pct * amount::DOUBLE / 100 AS dividend
     FROM actions a JOIN picked p ON a.ticker = p.ticker JOIN shares s ON s.ticker = p.ticker
     WHERE action_type = 'dividend') GROUP BY 1, 2),
+moved AS (
+  SELECT d.index_name, (SELECT min(v.date) FROM index_vals v WHERE v.index_name = d.index_name AND v.date >= d.date) AS date,
+         sum(d.dividend) AS dividend FROM divs d GROUP BY ALL),
 grown AS (
   SELECT v.index_name, v.date, v.index_value,
          coalesce((v.combined::DOUBLE + coalesce(d.dividend, 0))
                   / lag(v.combined::DOUBLE) OVER (PARTITION BY v.index_name ORDER BY v.date), 1) AS g
-  FROM index_vals v LEFT JOIN divs d ON d.index_name = v.index_name AND d.date = v.date),
+  FROM index_vals v LEFT JOIN moved d ON d.index_name = v.index_name AND d.date = v.date),
 tri AS (
   SELECT index_name, date, index_value,
          1000 * exp(sum(ln(g)) OVER (PARTITION BY index_name ORDER BY date)) AS total_return_value FROM grown)"""

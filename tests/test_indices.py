@@ -155,3 +155,13 @@ def test_eps_streak_needs_consecutive_quarters(spark):
     data += [("NEW", d(q), float(i + 1)) for i, q in enumerate(ends[2:])]
     df = spark.createDataFrame(data, "ticker string, quarter date, eps double")
     assert [r.ticker for r in fundamentals.screen_eps_streak(df).collect()] == ["UP"]
+
+
+def test_every_dividend_is_accounted_for(spark):
+    days = spark.sql("SELECT * FROM VALUES ('I', DATE'2024-01-02'), ('I', DATE'2024-01-05'), ('J', DATE'2024-01-03') AS t(index_name, date)")
+    paid = spark.sql(
+        "SELECT * FROM VALUES ('I', DATE'2024-01-01', 1.0), ('I', DATE'2024-01-03', 2.0), ('I', DATE'2024-01-04', 4.0), "
+        "('I', DATE'2024-01-05', 8.0), ('I', DATE'2024-01-06', 16.0), ('J', DATE'2024-01-04', 32.0) AS t(index_name, date, dividend)"
+    )
+    got = {(r.index_name, str(r.date), r.pending): r.dividend for r in indices.on_index_days(days, paid).collect()}
+    assert got == {("I", "2024-01-02", False): 1.0, ("I", "2024-01-05", False): 14.0, ("I", "2024-01-06", True): 16.0, ("J", "2024-01-04", True): 32.0}
