@@ -20,7 +20,7 @@ from ..sources.sites import Selector, SiteRule
 
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FIELDS = ("headline", "date", "source", "link", "footer")
-FOUND = "item_pos int, headline string, date string, source string, link string, footer string"
+FOUND = "item_pos int, page_problem string, headline string, date string, source string, link string, footer string"
 
 
 def _fits(selector: Selector, tag: str, attrs: dict[str, str | None]) -> bool:
@@ -88,39 +88,44 @@ class _Finder(HTMLParser):
 
 
 def find_items(html: str, rule: SiteRule) -> list[dict]:
-    finder = _Finder(rule)
-    finder.feed(html)
-    finder.close()
-    return finder.items
+    return [record for _, problem, record in _page_items(html, rule) if problem is None]
 
 
-def _numbered_items(html: str, rule: SiteRule) -> list[tuple[int, dict]]:
-    """Items with their position; a page the parser can't read is one empty item at -1, a reject."""
+def _page_items(html: str | None, rule: SiteRule | None) -> list[tuple[int, str | None, dict]]:
+    """(position, problem, record) of a page's items; a page with none, or with a part that can't be read, adds a reject at -1."""
+    if html is None or rule is None:
+        return [(-1, "no page" if html is None else "unknown site", {})]
+    finder, problem = _Finder(rule), None
     try:
-        return list(enumerate(find_items(html, rule)))
-    except AssertionError:  # what the parser raises for a malformed declaration
-        return [(-1, {})]
+        finder.feed(html)
+        finder.close()
+    except AssertionError:  # what the parser raises for a malformed declaration; items before it stay
+        problem = "unreadable page"
+    items = [(at, None, record) for at, record in enumerate(finder.items)]
+    if not items and problem is None:
+        problem = "no items"
+    return [*items, (-1, problem, {})] if problem else items
 
 
 def _find(pages: DataFrame, rules: Sequence[SiteRule]) -> DataFrame:
-    """One row per item element, with the page's other columns carried along."""
+    """One row per item element, and one per page without or with unreadable ones, with the page's other columns carried along."""
     carried = [c for c in pages.columns if c != "html"]
     carried_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != "html")
     by_site = {rule.name: rule for rule in rules}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            source, position, found = [], [], {name: [] for name in FIELDS}
+            source, position, problems, found = [], [], [], {name: [] for name in FIELDS}
             for row, (site, html) in enumerate(zip(batch["site"], batch["html"])):
-                if html is None or site not in by_site:
-                    continue
-                for pos, record in _numbered_items(html, by_site[site]):
+                for pos, problem, record in _page_items(html, by_site.get(site)):
                     source.append(row)
                     position.append(pos)
+                    problems.append(problem)
                     for name in FIELDS:
                         found[name].append(record.get(name))
             out = batch[carried].iloc[source].reset_index(drop=True)
             out["item_pos"] = pd.Series(position, dtype="int32")
+            out["page_problem"] = pd.Series(problems, dtype="object")
             for name in FIELDS:
                 out[name] = pd.Series(found[name], dtype="object")
             yield out
@@ -170,8 +175,9 @@ def extract_articles(pages: DataFrame, rules: Sequence[SiteRule], as_of: str = "
     """All items of landed pages, with ``problem`` null for usable articles.
 
     ``pages`` has site (the rule's name), url, html and, for relative and absolute dates,
-    the scrape time. Pages are read once whatever the number of sites; a site without
-    pages adds nothing, and pages of other sites are skipped.
+    the scrape time. Pages are read once whatever the number of sites, and a site without
+    pages adds nothing. A page that is null, of a site without a rule, without an item, or
+    malformed is a row of its own with that problem; items read before a malformed part stay.
     """
 
     def per_site(column: Callable[[SiteRule], Column], only: Sequence[SiteRule] = rules) -> Column:
@@ -212,8 +218,8 @@ def extract_articles(pages: DataFrame, rules: Sequence[SiteRule], as_of: str = "
     helpers = [c for c in items.columns if c.startswith("__")]
     return (
         items.withColumns({"date_posted": date, "__status": status})
-        .withColumn("problem", F.coalesce(F.col("problem"), bad_date))
-        .drop("date", "link", "footer", "date_text", "__status", *helpers)
+        .withColumn("problem", F.coalesce("page_problem", "problem", bad_date))
+        .drop("page_problem", "date", "link", "footer", "date_text", "__status", *helpers)
     )
 
 

@@ -58,9 +58,11 @@ def screen_growth(rows: DataFrame, measure: str, n: int, where: str | None = Non
     return kept.where(F.col(measure).isNotNull()).orderBy(F.col(measure).desc(), "ticker").limit(n)
 
 
-def screen_eps_streak(fundamentals: DataFrame, quarters: int = 4) -> DataFrame:
-    """Tickers whose last ``quarters`` quarters are consecutive, each EPS above the one
-    before, and whose latest EPS is positive."""
+def screen_eps_streak(fundamentals: DataFrame, quarters: int = 4, as_of: str | None = None) -> DataFrame:
+    """Tickers whose last ``quarters`` quarters (up to ``as_of``, if given) are consecutive, each
+    EPS above the one before, and whose latest EPS is positive."""
+    if as_of is not None:
+        fundamentals = fundamentals.where(F.col("quarter") <= F.lit(as_of).cast("date"))
     series = Window.partitionBy("ticker").orderBy("quarter")
     latest = Window.partitionBy("ticker").orderBy(F.col("quarter").desc())
     rises = (F.col("eps") > F.lag("eps").over(series)) & (

@@ -48,18 +48,22 @@ def capped_weights(
     Closed form, no loop: with names sorted by weight, capping the k largest scales the
     rest by (1 - k*cap) / (their sum); k is the smallest count whose next name then fits.
     With ``top_cap`` the three largest together are limited too, by lowering the cap. When
-    even equal weights break the cap, the result is equal weights.
+    even equal weights break the cap, the result is equal weights. ``feasible`` tells whether
+    an index of so many names can keep the limits at all: n names at the cap must reach the
+    whole, and so must n names at a third of ``top_cap``; three names or fewer are the whole.
 
     An index is a selected list (a few hundred names), which bounds the window group.
     """
     first = _water_fill(weighted.withColumn("__cap", F.lit(float(cap))), index)
+    n = F.col("__n")
     if top_cap is None:
-        return _drop_helpers(first)
+        return _drop_helpers(first.withColumn("feasible", n * cap >= 1 - 1e-12))
     group = Window.partitionBy(index)
     top3 = F.sum(F.when(F.col("__rank") <= 3, F.col("capped_weight"))).over(group)
     lowered = _lower_cap(first.withColumn("__top3", top3), float(top_cap), index)
     # Only the cap differs from the first pass; the ranks and sums are reused.
-    return _drop_helpers(_water_fill(lowered.drop("capped_weight"), index))
+    within = (n * cap >= 1 - 1e-12) & (n > 3) & (n * (top_cap / 3) >= 1 - 1e-12) if top_cap < 1 else n * cap >= 1 - 1e-12
+    return _drop_helpers(_water_fill(lowered.drop("capped_weight"), index).withColumn("feasible", within))
 
 
 def _drop_helpers(df: DataFrame) -> DataFrame:

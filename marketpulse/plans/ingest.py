@@ -11,7 +11,9 @@ from ..functions import text as T
 from ..operators import extract
 from ..session import scratch_path
 from ..sources import bulk, landed, sites
+from ..sources.store import ArticleStore
 from ..sources.views import Views
+from . import jobs
 from .registry import query
 from .sql_views import with_views
 
@@ -405,8 +407,7 @@ def site_pages(v: Views) -> DataFrame:
     return events.select("event_id", ticker.alias("ticker"), "as_of", F.inline(landed_pages))
 
 
-@query(
-    f"""SELECT event_id, 'T' || user_id AS ticker, site, event_type || ' ' || props AS headline,
+LISTINGS_SQL = f"""SELECT event_id, 'T' || user_id AS ticker, site, event_type || ' ' || props AS headline,
   CASE site WHEN 'Finology' THEN 'Finology' ELSE event_type END AS source,
   CASE site WHEN 'GoogleFinance' THEN CASE WHEN event_id % 10 = 3 THEN '' ELSE '/ev/' || event_id END
             WHEN 'YahooFinance' THEN 'https://finance.yahoo.com' || CASE WHEN event_id % 10 = 3 THEN '' ELSE '/ev/' || event_id END
@@ -422,7 +423,9 @@ def site_pages(v: Views) -> DataFrame:
        WHEN site IN ('GoogleFinance', 'YahooFinance') AND event_id % 12 = 10 THEN 'unreadable date' END AS problem
 FROM (SELECT *, {RELATIVE_VALUE_SQL} AS moment, ts + INTERVAL 1 YEAR AS this_year FROM events),
      (VALUES ('GoogleFinance'), ('YahooFinance'), ('Finology'), ('GoogleNews')) s(site)"""
-)
+
+
+@query(LISTINGS_SQL)
 def extract_site_listings(v: Views) -> DataFrame:
     """Items of the four news sites, with the reason for each one that is not usable."""
     rules = (*sites.TICKER_SITES, sites.GOOGLE_NEWS)
@@ -430,3 +433,22 @@ def extract_site_listings(v: Views) -> DataFrame:
     return items.select(
         "event_id", "ticker", "site", "headline", "source", "article_link", "date_posted", "problem"
     )
+
+
+@query(
+    with_views(
+        "univ",
+        body=f""", listed AS ({LISTINGS_SQL}),
+ranked AS (
+  SELECT l.*, row_number() OVER (PARTITION BY ticker, headline ORDER BY CASE site WHEN 'GoogleFinance' THEN 0 WHEN 'YahooFinance' THEN 1 ELSE 2 END,
+         date_posted, source NULLS FIRST, article_link NULLS FIRST) AS r
+  FROM listed l WHERE site <> 'GoogleNews' AND problem IS NULL AND date_posted IS NOT NULL AND ticker IN (SELECT ticker FROM univ WHERE idx_500))
+SELECT ticker, headline, date_posted, source, article_link FROM ranked WHERE r = 1""",
+    )
+)
+def collect_news(v: Views) -> DataFrame:
+    """The daily collection on an empty store: pages of an index's tickers to stored articles."""
+    store = ArticleStore(v.spark, scratch_path(v.spark, "store"))
+    store.write_universe(v.universe())
+    jobs.collect_news(store, site_pages(v), "idx_500", F.to_timestamp(F.lit("2024-02-01 17:30:00")))
+    return store.articles.select("ticker", "headline", "date_posted", "source", "article_link")

@@ -121,7 +121,8 @@ WHERE ticker IN ('S1', 'S2', 'S3', 'S5', 'S8', 'S13') AND date BETWEEN DATE '199
     )
 )
 def price_range_scan(v: Views) -> DataFrame:
-    wanted = prices.price_range(v.prices(), RANGE_TICKERS, "1996-04-01", "1997-01-01")
+    days = ("1996-04-01", "1997-01-01")
+    wanted = prices.price_range(v.prices(tickers=RANGE_TICKERS, between=days), RANGE_TICKERS, *days)
     return wanted.select("ticker", "date", F.col("close").cast("double").alias("close"))
 
 
@@ -334,6 +335,21 @@ def capped_weights_top3(v: Views) -> DataFrame:
     return out[0].unionByName(out[1]).select("index_name", "ticker", "scheme", r6("capped_weight"))
 
 
+@query(
+    with_views(
+        "picked",
+        body=f""", named AS (SELECT index_name, count(*) AS n FROM picked GROUP BY index_name)
+SELECT index_name, scheme, n, n >= 1 / cap AND n > 3 AND n >= 3 / top AS feasible
+FROM named, (VALUES {_CAP_ROWS}) c(scheme, cap, top)""",
+    )
+)
+def capping_feasible(v: Views) -> DataFrame:
+    """Whether each index has names enough for its limits."""
+    weighted = indices.weights(picked(v), "ffmc").select("index_name", "ticker", "weight")
+    out = [indices.capped_weights(weighted, cap, top).withColumn("scheme", F.lit(name)) for name, (cap, top) in CAPS.items()]
+    return out[0].unionByName(out[1]).groupBy("index_name", "scheme").agg(F.count(F.lit(1)).alias("n"), F.bool_and("feasible").alias("feasible"))
+
+
 @query(
     with_views(
         "index_vals",
@@ -652,8 +668,8 @@ WHERE a.age = 1 AND a.eps > 0 AND a.eps > b.eps AND b.eps > c.eps AND c.eps > d.
     )
 )
 def screen_eps_streak(v: Views) -> DataFrame:
-    """The four quarters of the last complete year."""
-    return Q.screen_eps_streak(v.fundamentals().where("quarter <= DATE'2000-12-31'"))
+    """The four latest quarters as of the end of a year."""
+    return Q.screen_eps_streak(v.fundamentals(), as_of="2000-12-31")
 
 
 @query(

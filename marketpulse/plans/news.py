@@ -10,6 +10,7 @@ from ..operators import articles as A
 from ..operators import dedup, scoring, upsert
 from ..operators.governance import retain
 from ..operators.hierarchy import dashboard_join as join_meta
+from ..operators.hierarchy import index_treemap as tree_of_index
 from ..operators.hierarchy import dashboard_names, treemap
 from ..operators.indices import active_on
 from ..schemas import MODEL_OUT, SCORE_COLUMNS
@@ -49,6 +50,11 @@ def stored(v: Views) -> DataFrame:
     return dedup.delete_duplicates(early).drop("arrival_seq")
 
 
+def whole(v: Views) -> DataFrame:
+    """All articles, one per key."""
+    return dedup.delete_duplicates(v.articles()).drop("arrival_seq")
+
+
 def batch(v: Views) -> DataFrame:
     """Articles of the second half, copies included."""
     return v.articles().where(F.col("created_at") >= F.to_timestamp_ntz(F.lit(f"{SPLIT} 00:00:00")))
@@ -377,27 +383,27 @@ def model_comparison(v: Views) -> DataFrame:
 
 @query(
     with_views(
-        "stored",
+        "whole",
         body=f"""SELECT {STORE_SQL} FROM (
   SELECT s.ticker, s.headline, s.date_posted, s.source, s.article_link, x."Negative" AS negative_sentiment,
          x."Positive" AS positive_sentiment, x."Neutral" AS neutral_sentiment,
          round_even(CASE WHEN x."Positive" > x."Negative" THEN x."Positive" ELSE -x."Negative" END::DOUBLE, 4)
            AS compound_sentiment, s.created_at
-  FROM stored s JOIN ({lexicon_sql("(SELECT * FROM stored WHERE source <> 'view')", 'ticker, headline', 'headline')}) x
+  FROM whole s JOIN ({lexicon_sql("(SELECT * FROM whole WHERE source <> 'view')", 'ticker, headline', 'headline')}) x
     ON s.ticker = x.ticker AND s.headline = x.headline)""",
     )
 )
 def attach_scores(v: Views) -> DataFrame:
-    articles = stored(v)
+    articles = whole(v)
     scores = scoring.score_with_lexicon(articles.where("source <> 'view'").select("ticker", "headline"))
     return store_rows(upsert.attach_scores(articles, scores))
 
 
 @query(
     with_views(
-        "stored",
+        "whole",
         body=f""", todo AS (
-  SELECT * FROM stored WHERE compound_sentiment IS NULL ORDER BY date_posted DESC, ticker, headline LIMIT 200),
+  SELECT * FROM whole WHERE compound_sentiment IS NULL ORDER BY date_posted DESC, ticker, headline LIMIT 200),
 done AS ({lexicon_sql('todo', 'ticker, headline', 'headline')})
 SELECT {STORE_SQL} FROM (
   SELECT s.ticker, s.headline, s.date_posted, s.source, s.article_link,
@@ -407,11 +413,11 @@ SELECT {STORE_SQL} FROM (
          coalesce(round_even(CASE WHEN d."Positive" > d."Negative" THEN d."Positive" ELSE -d."Negative" END::DOUBLE, 4)::FLOAT,
                   s.compound_sentiment) AS compound_sentiment,
          CASE WHEN d.ticker IS NULL THEN s.created_at ELSE TIMESTAMP '{AS_OF}' END AS created_at
-  FROM stored s LEFT JOIN done d ON s.ticker = d.ticker AND s.headline = d.headline)""",
+  FROM whole s LEFT JOIN done d ON s.ticker = d.ticker AND s.headline = d.headline)""",
     )
 )
 def score_backlog(v: Views) -> DataFrame:
-    return store_rows(scoring.score_backlog(stored(v), scoring.score_with_lexicon, as_of(), n=200))
+    return store_rows(scoring.score_backlog(whole(v), scoring.score_with_lexicon, as_of(), n=200))
 
 
 # --- aggregation and the tree map ---------------------------------------------------------------
@@ -485,6 +491,62 @@ def sentiment_treemap_latest20(v: Views) -> DataFrame:
     return tree_rows(treemap(join_meta(v.meta(), A.ticker_scores(newest)), ROOT))
 
 
+NEWS_TICKER = "T7"
+
+
+@query(
+    with_views(
+        "art",
+        body=f"""SELECT ticker, headline, date_posted, source, article_link, round(compound_sentiment::DOUBLE, 6) AS compound_sentiment
+FROM art WHERE ticker = '{NEWS_TICKER}'""",
+    )
+)
+def ticker_news(v: Views) -> DataFrame:
+    """All news of one stock."""
+    news = A.get_articles(v.articles(), n=None, ticker=NEWS_TICKER)
+    return news.select("ticker", "headline", "date_posted", "source", "article_link", F.round(F.col("compound_sentiment").cast("double"), 6).alias("compound_sentiment"))
+
+
+TREE_DAY = "2024-01-20"
+
+
+@query(
+    with_views(
+        "art",
+        "meta",
+        "news_members",
+        body=f""", inside AS (
+  SELECT ticker FROM news_members WHERE index_name = 'idx_50' AND effective_date <= DATE '{TREE_DAY}'
+    AND (end_date IS NULL OR end_date > DATE '{TREE_DAY}')),
+scored AS (
+  SELECT ticker, avg(negative_sentiment::DOUBLE) AS neg, avg(neutral_sentiment::DOUBLE) AS neu, avg(positive_sentiment::DOUBLE) AS pos,
+         avg(compound_sentiment::DOUBLE) AS score
+  FROM art a WHERE a.date_posted[1:10]::DATE BETWEEN DATE '{TREE_DAY}' - 6 AND DATE '{TREE_DAY}'
+    AND EXISTS (SELECT 1 FROM news_members m WHERE m.ticker = a.ticker AND m.index_name = 'idx_50'
+                AND m.effective_date <= a.date_posted[1:10]::DATE AND coalesce(m.end_date > a.date_posted[1:10]::DATE, true))
+  GROUP BY ticker),
+leaves AS (
+  SELECT sector, industry, m.ticker AS ticker, "mCap" AS cap, "companyName" AS company, neg, neu, pos, score
+  FROM meta m LEFT JOIN scored s ON s.ticker = m.ticker WHERE m.ticker IN (SELECT ticker FROM inside)),
+nodes AS (
+  SELECT 'idx_50/' || sector || '/' || industry || '/' || ticker AS id, 'idx_50/' || sector || '/' || industry AS parent, ticker AS label, 3 AS level,
+         cap AS value, score AS color, company, neg, neu, pos, score FROM leaves
+  UNION ALL SELECT 'idx_50/' || sector || '/' || industry, 'idx_50/' || sector, industry, 2, sum(cap),
+         sum(cap * score) / sum(CASE WHEN score IS NOT NULL THEN cap END), NULL, NULL, NULL, NULL, NULL FROM leaves GROUP BY sector, industry
+  UNION ALL SELECT 'idx_50/' || sector, 'idx_50', sector, 1, sum(cap),
+         sum(cap * score) / sum(CASE WHEN score IS NOT NULL THEN cap END), NULL, NULL, NULL, NULL, NULL FROM leaves GROUP BY sector
+  UNION ALL SELECT 'idx_50', '', 'idx_50', 0, sum(cap), sum(cap * score) / sum(CASE WHEN score IS NOT NULL THEN cap END),
+         NULL, NULL, NULL, NULL, NULL FROM leaves)
+SELECT id, parent, label, level::INT AS level, round(value, 4) AS value, round(color, 6) AS color, company AS "companyName",
+  round(neg, 6) AS "Negative", round(neu, 6) AS "Neutral", round(pos, 6) AS "Positive", round(score, 6) AS "Sentiment Score" FROM nodes""",
+    )
+)
+def index_treemap(v: Views) -> DataFrame:
+    """The sentiment tree of one index over seven days, with the columns of its leaves."""
+    nodes = tree_rows(tree_of_index(v.meta(), v.articles(), v.news_members(), "idx_50", TREE_DAY))
+    return nodes.withColumns({c: F.round(F.col(c), 6) for c in ("Negative", "Neutral", "Positive", "Sentiment Score")})
+
+
 DAILY_SQL = """SELECT ticker, date_posted[1:10]::DATE AS date, avg(compound_sentiment) AS score,
   count(compound_sentiment) AS n_scored, count(*) AS n_articles FROM art GROUP BY 1, 2"""
 

@@ -216,6 +216,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         WHERE r <= 10""",
     ),
     # --- the article store split in time ---------------------------------------------------------
+    "whole": (
+        ("art",),
+        """
+        SELECT * EXCLUDE (r) FROM (
+          SELECT *, row_number() OVER (PARTITION BY ticker, headline ORDER BY created_at, arrival_seq) AS r FROM art) WHERE r = 1""",
+    ),
     "stored": (
         ("art",),
         """

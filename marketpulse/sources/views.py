@@ -6,6 +6,10 @@ spells the same definitions for the oracle.
 
 from __future__ import annotations
 
+import datetime as dt
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,13 +118,23 @@ class Views:
         """
         return _with_ticker(self._keyed_trades(only))
 
-    def _keyed_trades(self, only: DataFrame | None) -> DataFrame:
-        """Trades under the number of their ticker, which groups cheaper than its text."""
+    def _keyed_trades(self, only: DataFrame | None, tickers: Sequence[str] | None = None, between: tuple[str, str] | None = None) -> DataFrame:
+        """Trades under the number of their ticker, which groups cheaper than its text.
+
+        ``tickers`` and ``between`` (first and last day) become conditions on the stored columns, which
+        the scan can check against its row groups; on the derived ticker and day it couldn't.
+        """
         cents = whole_cents("l_extendedprice")
         seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * TRADE_SEQ_FACTOR + F.pmod(
             "l_partkey", F.lit(TRADE_SEQ_FACTOR)
         )
-        rows = self._table("lineitem").select(
+        stored = self._table("lineitem")
+        if tickers is not None:
+            stored = stored.where(F.col("l_suppkey").isin([int(t[1:]) for t in tickers if re.fullmatch(r"S(0|[1-9]\d{0,17})", t)]))
+        if between is not None:
+            first, last = (dt.datetime.fromisoformat(day) for day in between)
+            stored = stored.where((F.col("l_shipdate") >= F.lit(first).cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit(last + dt.timedelta(days=1)).cast("timestamp_ntz")))
+        rows = stored.select(
             F.col("l_suppkey").alias("ticker"),
             F.col("l_shipdate").cast("date").alias("date"),
             F.floor(cents * 100 / F.col("l_quantity")).alias("price"),
@@ -133,9 +147,9 @@ class Views:
         numbers = only.select(F.substring("ticker", 2, 20).cast("bigint").alias("ticker"))
         return rows.join(numbers, "ticker", "left_semi")
 
-    def prices(self, only: DataFrame | None = None) -> DataFrame:
+    def prices(self, only: DataFrame | None = None, tickers: Sequence[str] | None = None, between: tuple[str, str] | None = None) -> DataFrame:
         """Daily bars. Whole numbers are aggregated; decimals are made per day, not per trade."""
-        bars = _with_ticker(daily_bars(self._keyed_trades(only)))
+        bars = _with_ticker(daily_bars(self._keyed_trades(only, tickers, between)))
         exact = {c: (F.col(c) / F.lit(10000.0)).cast("decimal(12,4)") for c in ("open", "high", "low", "close")}
         return bars.withColumns({**exact, "turnover": (F.col("turnover") / F.lit(100.0)).cast("decimal(20,2)")})
 

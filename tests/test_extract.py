@@ -28,8 +28,10 @@ def test_site_rules(spark):
     rows = [("T", site, f"http://{site}", html) for site, html in pages.items()] + [("T", "Finology", "u", None)]
     df = spark.createDataFrame(rows, "ticker string, site string, url string, html string")
     df = df.withColumn("as_of", F.to_timestamp(F.lit("2024-03-31 10:11:12")))
-    got = {r.site: r for r in extract.extract_articles(df, sites.TICKER_SITES).collect()}
+    items = extract.extract_articles(df, sites.TICKER_SITES)
+    got = {r.site: r for r in items.where("item_pos >= 0").collect()}
     assert len(got) == 3
+    assert [(r.site, r.problem) for r in items.where("item_pos < 0").collect()] == [("Finology", "no page")]
     assert got["GoogleFinance"].problem == "unreadable date" and got["GoogleFinance"].headline == "Hx"
     yahoo = got["YahooFinance"]
     assert (yahoo.source, yahoo.date_posted, yahoo.article_link, yahoo.problem) == ("Yahoo Finance", "", "http://q", None)
@@ -41,3 +43,13 @@ def test_whole_long_page_is_read(spark):
     long = "<p>" + "x" * 3_000_000 + "</p><article><h1>at the end</h1></article>"
     df = spark.createDataFrame([("u", long)], "url string, html string")
     assert extract.extract_site(df, sites.ARTICLE_PAGE).first().headline == "at the end"
+
+
+def test_pages_without_items_are_rejects(spark):
+    item = '<div class="z4rs2b"><a href="http://n/1"><div class="sfyJob">Paper</div><div class="Yfwt5">Up</div><div class="Adak">2 hours ago</div></a></div>'
+    pages = [("GoogleFinance", item + "<![bad"), ("GoogleFinance", "<p>nothing"), ("GoogleFinance", None), ("Elsewhere", item), ("GoogleFinance", "")]
+    df = spark.createDataFrame([("T", s, "u", h) for s, h in pages], "ticker string, site string, url string, html string")
+    out = extract.extract_articles(df.withColumn("as_of", F.to_timestamp(F.lit("2024-03-31 10:11:12"))), sites.TICKER_SITES)
+    assert [(r.headline, r.article_link) for r in extract.usable(out).collect()] == [("Up", "http://n/1")]
+    rejects = sorted((r.site, r.problem) for r in extract.rejected(out).collect())
+    assert rejects == [("Elsewhere", "unknown site"), ("GoogleFinance", "no items"), ("GoogleFinance", "no items"), ("GoogleFinance", "no page"), ("GoogleFinance", "unreadable page")]

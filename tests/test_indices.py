@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketpulse.operators import fundamentals, indices, prices, risk
+from marketpulse.plans import REGISTRY
+from marketpulse.sources.views import Views
 
 
 def water_fill(w: np.ndarray, cap: float) -> np.ndarray:
@@ -165,3 +167,23 @@ def test_every_dividend_is_accounted_for(spark):
     )
     got = {(r.index_name, str(r.date), r.pending): r.dividend for r in indices.on_index_days(days, paid).collect()}
     assert got == {("I", "2024-01-02", False): 1.0, ("I", "2024-01-05", False): 14.0, ("I", "2024-01-06", True): 16.0, ("J", "2024-01-04", True): 32.0}
+
+
+def test_limits_that_few_names_cannot_keep(spark):
+    rows = [(f"I{n}", f"T{k}", 1.0 / n) for n in (2, 3, 4, 5) for k in range(n)]
+    weighted = spark.createDataFrame(rows, "index_name string, ticker string, weight double")
+
+    def feasible(cap, top=None):
+        out = indices.capped_weights(weighted, cap, top)
+        return {r.index_name: r.feasible for r in out.select("index_name", "feasible").distinct().collect()}
+
+    assert feasible(0.33, 0.62) == {"I2": False, "I3": False, "I4": False, "I5": True}
+    assert feasible(0.5) == {"I2": True, "I3": True, "I4": True, "I5": True}
+    assert feasible(0.25) == {"I2": False, "I3": False, "I4": True, "I5": True}
+
+
+def test_price_range_reaches_the_scan(spark, small):
+    wanted = REGISTRY["price_range_scan"].build(Views(spark, small))
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: [", 1)[1]
+    assert "In(l_suppkey" in pushed and "GreaterThanOrEqual(l_shipdate" in pushed and "LessThan(l_shipdate" in pushed
