@@ -47,7 +47,7 @@ def test_whole_long_page_is_read(spark):
 
 def test_pages_without_items_are_rejects(spark):
     item = '<div class="z4rs2b"><a href="http://n/1"><div class="sfyJob">Paper</div><div class="Yfwt5">Up</div><div class="Adak">2 hours ago</div></a></div>'
-    pages = [("GoogleFinance", item + "<![bad"), ("GoogleFinance", "<p>nothing"), ("GoogleFinance", None), ("Elsewhere", item), ("GoogleFinance", "")]
+    pages = [("GoogleFinance", item + "<![bad[x]]>"), ("GoogleFinance", "<p>nothing"), ("GoogleFinance", None), ("Elsewhere", item), ("GoogleFinance", "")]
     df = spark.createDataFrame([("T", s, "u", h) for s, h in pages], "ticker string, site string, url string, html string")
     out = extract.extract_articles(df.withColumn("as_of", F.to_timestamp(F.lit("2024-03-31 10:11:12"))), sites.TICKER_SITES)
     assert [(r.headline, r.article_link) for r in extract.usable(out).collect()] == [("Up", "http://n/1")]

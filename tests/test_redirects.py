@@ -20,7 +20,7 @@ FORMS = [
     ('<a rel="nofollow" href="">x</a><script>window.location.replace(\'http://n/8\')</script>', "http://n/8"),
     ("<script>window.location.replace(target); window.location.replace('http://n/9')</script>", "http://n/9"),
     ("<script>window.location.replace('ftp://n/')</script>", None),
-    ("<a rel='nofollow' href='http://n/10'>x</a><![bad", "http://n/10"),
+    ("<a rel='nofollow' href='http://n/10'>x</a><![bad[x]]>", "http://n/10"),
     ("", None),
     (None, None),
 ]
