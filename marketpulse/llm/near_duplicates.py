@@ -17,14 +17,19 @@ order their shingles by how many of these nodes hold them. Two sets of n and m s
 o >= 75 (n + m) / 175 in common to be linked, so the first one they share is among the first
 n - o + 1 and m - o + 1. Nodes that meet there, in different components, are compared; shingles
 that only one component holds are skipped, and nodes of a shingle's largest component aren't
-paired with each other. No link between different components is left out.
+paired with each other; a node meets nobody at a shingle where even the best partner there is
+out of reach. No link between different components is left out.
 
 Every link is confirmed on the full sets, which are read again for nodes in shared buckets.
 
 Defined results: null or empty text and text without words has an empty set, is linked with
 nothing and is kept. Fewer than five words are one shingle. A null doc_id never is a
 component's id unless the whole component has none. Rows that repeat a doc_id and text are
-copies; `drop_near_duplicates` keeps one row of each component whatever its ids are. No rows give no rows. Other columns are ignored by `near_duplicates`.
+copies; `drop_near_duplicates` keeps one row of each component whatever its ids are. No rows
+give no rows. Other columns are ignored by `near_duplicates`.
+
+Written tables are removed once what was made from them is written. Components are extended
+by the links of each turn: only the labels that they join are followed again.
 """
 
 from __future__ import annotations
@@ -37,7 +42,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialized
-from .graphs import components
+from .graphs import components, extended
+from .scratch import Scratch
 from .tokens import grams, mixed, slices, tokens
 
 WORDS = 5
@@ -153,9 +159,10 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, inter, total) of distinct pairs (a, b): sizes of intersection and union of the full sets."""
+    """(a, b, inter, total) of the written distinct pairs (a, b): sizes of intersection and union of the full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    # many pairs have one centre, so few sets are needed on this side
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
     inter = F.size(F.array_intersect("x", "y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", inter.alias("inter"), (F.size("x") + F.size("y")).alias("both"))
     return joined.select("a", "b", "inter", (F.col("both") - F.col("inter")).alias("total"))
@@ -163,47 +170,65 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 _LINKED = f"100 * inter >= {PERCENT} * total"
 
-def _rare_pairs(rows: DataFrame, sets: DataFrame) -> DataFrame:
+
+def _rare_pairs(rows: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of nodes in different components (part) that can be linked, by the rarest shingles of each."""
-    nodes = materialized(rows.select("node", "n", "part").distinct(), "rest")
-    held = materialized(sets.join(nodes, "node").select("node", "n", "part", F.explode("items").alias("item")), "held")
+    nodes = scratch.write(rows.select("node", "n", "part").distinct(), "rest")
+    held = scratch.write(sets.join(nodes, "node").select("node", F.explode("items").alias("item")), "held")
     spread = held.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     inside = Window.partitionBy("node")
     ranked = held.join(spread, "item").withColumn("shared", F.count(F.lit(1)).over(inside))
     # shingles that no other node holds come first
     ranked = ranked.withColumn("after", F.col("shared") - F.row_number().over(inside.orderBy("df", "item")) + 1)
     # the most that can be common if this is the first common shingle, against the least partner there is
-    rare = ranked.where(f"after * 100 >= n * {PERCENT}").select("item", "node", "n", "part", "after")
-    rare = materialized(rare, "rare")
-    parts = rare.groupBy("item", "part").agg(F.count(F.lit(1)).alias("members"))
-    main = parts.groupBy("item").agg(F.max(F.struct("members", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    # written, so that a hot shingle's rows in the join below can be split
-    main = materialized(main.where("parts > 1").select("item", F.col("main.part").alias("main")), "main")
-    other = rare.select("item", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("after").alias("left"))
-    need = f"{PERCENT} * (n + m) <= {100 + PERCENT} * least(after, left)"
-    met = materialized(rare.join(main, "item").where("part != main").drop("main"), "minor").join(other, "item").where(f"part != other and {need}")
+    rare = ranked.join(nodes, "node").where(f"after * 100 >= n * {PERCENT}").select("item", "node", "n", "part", "after")
+    rare = scratch.write(rare, "rare")
+    scratch.remove("held")
+    best = (F.min("n").alias("least_n"), F.max("after").alias("most"))
+    parts = rare.groupBy("item", "part").agg(F.count(F.lit(1)).alias("members"), *best)
+    main = parts.groupBy("item").agg(F.max(F.struct("members", "part")).alias("main"), F.count(F.lit(1)).alias("parts"), F.min("least_n").alias("least_n"), F.max("most").alias("most"))
+    # written, so that a hot shingle's rows in the joins below can be split
+    main = scratch.write(main.where("parts > 1").select("item", F.col("main.part").alias("main"), "least_n", "most"), "main")
+
+    def need(m: str, left: str) -> str:
+        return f"{PERCENT} * (n + {m}) <= {100 + PERCENT} * least(after, {left})"
+
+    # a row whose best partner at this shingle is out of reach meets nobody: pages of one template don't meet at its words
+    hopeful = scratch.write(rare.join(main, "item").where(need("least_n", "most")).select("item", "node", "n", "part", "after", (F.col("part") != F.col("main")).alias("minor")), "hopeful")
+    scratch.remove("rare", "main")
+    other = hopeful.select("item", F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"), F.col("after").alias("left"))
+    met = hopeful.where("minor").join(other, "item").where(f"part != other and {need('m', 'left')}")
     return met.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
-def _links(signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between nodes, enough of them to connect all that are linked."""
+def _labels(signed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label) of all nodes that are linked with another."""
     nodes = signed.where("n > 0").groupBy("node").agg(F.first("bands").alias("bands"), F.first("n").alias("n"), F.min(F.coalesce("doc_id", F.lit(0))).alias("some_id"))
-    nodes = materialized(nodes, "nodes")
+    nodes = scratch.write(nodes, "nodes")
     keys = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    shared = materialized(keys.where("members > 1").select("key"), "shared")
+    shared = scratch.write(keys.where("members > 1").select("key"), "shared")
     entries = nodes.select("node", "n", "some_id", F.posexplode("bands").alias("band", "key"))
-    buckets = materialized(entries.join(shared, "key"), "buckets")
-    texts = docs.select("doc_id", "text").join(buckets.select("some_id").distinct(), F.coalesce("doc_id", F.lit(0)) == F.col("some_id"), "left_semi")
-    sets = materialized(texts.mapInArrow(_full_sets, _SETS).groupBy("node").agg(F.first("items").alias("items")), "sets")
+    buckets = scratch.write(entries.join(shared, "key"), "buckets")
+    scratch.remove("nodes", "shared")
+    # written, so that the planner knows its size and doesn't shuffle whole texts where it is small
+    wanted = scratch.write(buckets.select("some_id").distinct(), "wanted")
+    texts = docs.select("doc_id", "text").join(wanted, F.coalesce("doc_id", F.lit(0)) == F.col("some_id"), "left_semi")
+    sets = scratch.write(texts.mapInArrow(_full_sets, _SETS).groupBy("node").agg(F.first("items").alias("items")), "sets")
+    scratch.remove("wanted")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return materialized(_measured(pairs, sets).where(_LINKED).select("a", "b"), "links")
+        links = scratch.write(_measured(scratch.write(pairs, "pairs"), sets).where(_LINKED).select("a", "b"), "links")
+        scratch.keep_last("links")
+        scratch.remove("pairs")
+        return links
 
-    def undecided(rows: DataFrame, links: DataFrame, least: int) -> DataFrame:
+    def undecided(rows: DataFrame, known: DataFrame, least: int) -> DataFrame:
         """The rows of buckets (key) with `least` or more nodes and more than one component (part) left."""
-        known = components(links).withColumnRenamed("label", "part")
-        rows = rows.join(known, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        rows = rows.join(known.withColumnRenamed("label", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
         keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members"))
-        return materialized(rows.join(keys.where(f"low != high and members >= {least}").select("key"), "key"), "undecided")
+        left = scratch.write(rows.join(keys.where(f"low != high and members >= {least}").select("key"), "key"), "undecided")
+        scratch.keep_last("undecided")
+        return left
 
     def starred(rows: DataFrame, turn: int) -> DataFrame:
         """Pairs (a, b) of each node and the centre that its bucket has in this turn."""
@@ -212,12 +237,17 @@ def _links(signed: DataFrame, docs: DataFrame) -> DataFrame:
 
     rows = buckets.select("key", "node", "n", "band")
     links = confirmed(starred(rows.where(F.col("band") < EARLY), 0))
+    known = scratch.write(components(links, scratch), "known")
+    scratch.remove("labels")
     for turn in range(1, TURNS + 1):
         # all bands have had a star once the first turn here is over, so pairs are decided then
-        rows = undecided(rows.drop("part"), links, 2 if turn == 1 else 3)
-        links = links.union(confirmed(starred(rows, turn)))
-    rows = undecided(rows.drop("part"), links, 3)
-    return links.union(confirmed(_rare_pairs(rows, sets)))
+        rows = undecided(rows.drop("part"), known, 2 if turn == 1 else 3)
+        scratch.remove("buckets")
+        known = extended(known, confirmed(starred(rows, turn)), scratch)
+    rows = undecided(rows.drop("part"), known, 3)
+    known = extended(known, confirmed(_rare_pairs(rows, sets, scratch)), scratch)
+    scratch.remove("undecided", "rest", "hopeful", "sets", "links")
+    return known
 
 
 def _text_key(text: Column) -> list[Column]:
@@ -227,13 +257,18 @@ def _text_key(text: Column) -> list[Column]:
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, t1, t2, node, n) of every row, and (node, lowest, label) of the nodes that are linked or have copies."""
+    scratch = Scratch(docs.sparkSession)
     text = F.col("text").cast("string")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *_text_key(text))
-    signed = materialized(narrow.mapInArrow(_sign, _SIGNED), "signed")
-    labels = components(_links(signed, narrow))
-    copies = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("copies"))
+    signed = scratch.write(narrow.mapInArrow(_sign, _SIGNED), "signed")
+    rows = scratch.write(signed.drop("bands"), "signed_rows")
+    labels = _labels(signed, narrow, scratch)
+    scratch.remove("signed")
+    copies = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("lowest"), F.count(F.lit(1)).alias("copies"))
     grouped = copies.join(labels, "node", "left").where("copies > 1 or label is not null")
-    return signed.drop("bands"), materialized(grouped.select("node", "lowest", F.coalesce("label", "node").alias("label")), "grouped")
+    grouped = scratch.write(grouped.select("node", "lowest", F.coalesce("label", "node").alias("label")), "grouped")
+    scratch.remove("known")
+    return rows, grouped
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -249,19 +284,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, and all other rows; rows that repeat doc_id and text count once.
+    """One row of each group of near-duplicates, and all other rows.
 
     A group keeps its smallest doc_id (null is the largest), and of that the text whose hash is
-    smallest. What goes is named by doc_id and text, so other rows with that doc_id, or with none, stay.
+    smallest; of rows that repeat both, the one whose other columns hash lowest. What goes is
+    named by doc_id and text, so other rows with that doc_id, or with none, stay. Rows without
+    words are in no group and stay, however often they repeat.
     """
     signed, grouped = _grouped(docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "t1", "t2")
     rows = materialized(signed.select("node", key.alias("key")).join(grouped.select("node", "label"), "node").select("label", "key"), "rows")
-    first = rows.groupBy("label").agg(F.min("key").alias("first"))
-    spare = rows.join(first, "label").where("key != first").select("key.*").distinct()
-    spare = materialized(spare.select(*[F.col(c).alias(f"__{c}") for c in ("none", "id", "t1", "t2")]), "spare")
-    doc_id, (t1, t2) = docs["doc_id"].cast("long"), _text_key(docs["text"].cast("string"))
-    same = (F.coalesce(doc_id, F.lit(0)) == F.col("__id")) & (doc_id.isNull() == F.col("__none")) & (t1 == F.col("__t1")) & (t2 == F.col("__t2"))
-    left = docs.join(spare, same, "left_anti")
-    again = docs.groupBy("doc_id").count().where("count > 1")
-    return left if again.isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    counted = rows.groupBy("label", "key").agg(F.count(F.lit(1)).alias("rows"))
+    first = counted.groupBy("label").agg(F.min("key").alias("first"))
+    # one row per key that goes, or of which one row is to stay
+    marked = materialized(counted.join(first, "label").where("key != first or rows > 1").select("key.*", (F.col("key") == F.col("first")).alias("one_stays")), "marked")
+    # the columns of `docs` are fields of `doc`, so no name clashes
+    doc_id, text = F.col("doc.doc_id").cast("long"), F.col("doc.text").cast("string")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    keyed = keyed.select("doc", doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), *_text_key(text))
+    names = ["none", "id", "t1", "t2"]
+    others = keyed.join(marked, names, "left_anti").select("doc")
+    again = keyed.join(marked.where("one_stays"), names, "left_semi")
+    once = again.groupBy(*names).agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc")
+    return others.unionByName(once).select("doc.*")
