@@ -8,12 +8,12 @@ the dictionary covers, marks of paths and addresses, and the words and signs bef
 dictionary is the whole words of a public vocabulary file, whose path is a parameter.
 
 The forest is trained on labelled findings: (finding, before, label) rows, or, where none are
-given, candidates of the documents labelled by a strict rule (a known key prefix, or a value
-assigned to a name that says secret and that has high entropy), at most FINDINGS different
-strings per label, chosen by a hash; a string that occurs often counts once. Trees see bootstrap rows and a random half of the features at each split;
-all random numbers have fixed seeds. Candidates whose mean leaf value reaches THRESHOLD are
-secrets. Where the strict rule labels, what it labels a secret is one whatever the forest says,
-since a rare form may be missing from the sample; key blocks always are.
+given, the made ones of `secret_examples`, whose labels follow from how each text was made, and
+BACKGROUND candidates of the documents that no sign of a secret surrounds, as negatives. At most
+FINDINGS different strings per label are taken, chosen by a hash; a string that occurs often
+counts once. Trees see bootstrap rows and a random half of the features at each split; all
+random numbers have fixed seeds. Candidates whose mean leaf value reaches THRESHOLD are secrets:
+the forest alone decides. Features see BEFORE characters before a candidate.
 
 Defined results: null text counts as empty and has none (and stays null when redacted);
 without any labelled positive nothing is a secret. Equal texts get equal findings. Rows and
@@ -35,10 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .secret_examples import labelled_examples
 from .selection import distinct_sample
 
 VOCABULARY = "byte_bpe_50k.json"
 FINDINGS = 3_000
+BACKGROUND = 1_000
+BEFORE = 40
 TREES = 24
 DEPTH = 7
 THRESHOLD = 0.5
@@ -48,10 +51,14 @@ _RUN = re.compile(r"(?<![A-Za-z0-9_+/.@~-])[A-Za-z0-9_+/.@~-]{16,}(?:={1,2}(?![A
 # Names of secret settings, and prefixes that providers give their keys.
 _NAMES = re.compile(r"(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)\W*$", re.I)
 _PREFIX = re.compile(r"(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_(?:live|test)_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{16,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.)")
+_DIGEST = re.compile(r"(?:sha-?\d*|md5|commit|digest|checksum|integrity|etag|rev|revision|hash|blob|fingerprint|base64|uuid|guid|id|trace|session)\W*$", re.I)
+_UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
+_PLACEHOLDER = re.compile(r"your[-_]|change-?me|placeholder|replace|insert|dummy|[-_]here|^[<$*]|(.)\1{7}", re.I)
+_PASSWORD = re.compile(r"(?:password|passwd|pwd)\W*$", re.I)
 _ASSIGNED = re.compile(r"""["']?\s{0,3}[=:]\s*["']?$""")
 _VALUE = re.compile(
     r"""(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth|bearer)["']?\s{0,3}[=:]\s{0,3}"""
-    r"""(?:"([^\s"']{8,200})"|'([^\s"']{8,200})'|([A-Za-z0-9_+/.@~-]{8,}(?:={1,2}(?![A-Za-z0-9_+/=.@~-]))?))""",
+    r"""(?:"([^\s"']{8,})"|'([^\s"']{8,})'|([A-Za-z0-9_+/.@~-]{8,}(?:={1,2}(?![A-Za-z0-9_+/=.@~-]))?))""",
     re.I,
 )
 _BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
@@ -150,6 +157,14 @@ def features(value: str, before: str, words: frozenset[str]) -> list[float]:
         float(bool(_NAMES.search(before))),
         float(bool(_ASSIGNED.search(before))),
         float(before[-1:] in "\"'"),
+        float(bool(_PREFIX.match(value))),
+        float(bool(_BLOCK.match(value))),
+        float(bool(_DIGEST.search(before))),
+        float(bool(_PASSWORD.search(before))),
+        float(bool(_UUID.fullmatch(value))),
+        float(bool(_PLACEHOLDER.search(value))),
+        len(set(value)) / n,
+        value.count("_") / n,
     ]
 
 
@@ -224,7 +239,7 @@ def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in batch.column("text"):
             value = text.as_py() or ""
-            rows += [(value[a:b], value[max(0, a - 40) : a]) for a, b in candidates(value)]
+            rows += [(value[a:b], value[max(0, a - BEFORE) : a]) for a, b in candidates(value)]
         if rows:
             finding, before = zip(*rows)
             label = pa.array([strict_label(*r) for r in rows], pa.int32())
@@ -236,6 +251,18 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_findings, "finding string, before string, label int")
 
 
+def training_findings(docs: DataFrame) -> DataFrame:
+    """(finding, before, label): the made examples, and BACKGROUND candidates of the documents as negatives.
+
+    Background are different candidates, the first by a hash, without a provider's prefix and
+    not after a name of secrets, whatever their form.
+    """
+    plain = labelled_findings(docs).where("label = 0").where(~F.col("before").rlike(f"(?i){_NAMES.pattern}"))
+    background = distinct_sample(plain, "label", "finding", BACKGROUND)
+    rows = [r[:3] for r in labelled_examples(candidates, BEFORE)] + [(r.finding, r.before, 0) for r in background]
+    return docs.sparkSession.createDataFrame(rows, "finding string, before string, label int")
+
+
 def fit(findings: DataFrame, path: str | None = None) -> Forest:
     """The forest of at most FINDINGS labelled findings per label."""
     rows = distinct_sample(findings.where("label is not null and finding is not null").select("finding", "before", "label"), "label", "finding", FINDINGS)
@@ -244,17 +271,17 @@ def fit(findings: DataFrame, path: str | None = None) -> Forest:
     return Forest(x, np.array([r.label for r in rows], float))
 
 
-def secret_spans(texts: list[str], forest: Forest, words: frozenset[str], strict: bool = False) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(number of candidates, spans of secrets) of each text; with `strict`, also what the strict rule labels."""
+def secret_spans(texts: list[str], forest: Forest, words: frozenset[str]) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(number of candidates, spans of secrets) of each text."""
     spans = [candidates(t) for t in texts]
-    pairs = [(t[a:b], t[max(0, a - 40) : a]) for t, s in zip(texts, spans) for a, b in s]
+    pairs = [(t[a:b], t[max(0, a - BEFORE) : a]) for t, s in zip(texts, spans) for a, b in s]
     rows = [features(*p, words) for p in pairs]
     scores = forest.score(np.array(rows)) if rows and forest.trees else [0.0] * len(rows)
-    sure = iter([s >= THRESHOLD or bool(_BLOCK.match(p[0])) or strict and strict_label(*p) == 1 for s, p in zip(scores, pairs)])
+    sure = iter([s >= THRESHOLD for s in scores])
     return [(len(s), [span for span in s if next(sure)]) for s in spans]
 
 
-def scanner(forest: Forest, path: str | None = None, strict: bool = False):
+def scanner(forest: Forest, path: str | None = None):
     """A column function from text to n_candidates, n_secrets, findings (start:end, code points), redacted text."""
 
     @F.arrow_udf("struct<n_candidates: long, n_secrets: long, findings: string, redacted: string>")
@@ -263,7 +290,7 @@ def scanner(forest: Forest, path: str | None = None, strict: bool = False):
         n, secrets, found, redacted = [], [], [], []
         for low in range(0, len(texts), 500):
             values = texts.slice(low, 500).to_pylist()
-            for value, (count, spans) in zip(values, secret_spans([v or "" for v in values], forest, words, strict)):
+            for value, (count, spans) in zip(values, secret_spans([v or "" for v in values], forest, words)):
                 n.append(count)
                 secrets.append(len(spans))
                 found.append(",".join(f"{a}:{b}" for a, b in spans))
@@ -282,14 +309,14 @@ def _digest(findings: Column) -> Column:
 
 def scan_documents(docs: DataFrame, findings: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """doc_id, n_candidates, n_secrets, findings, redacted_sha256: one row per row of `docs`."""
-    scan = scanner(fit(labelled_findings(docs) if findings is None else findings, path), path, findings is None)
+    scan = scanner(fit(training_findings(docs) if findings is None else findings, path), path)
     scanned = docs.select("doc_id", scan(F.col("text").cast("string")).alias("s"))
     return scanned.select("doc_id", "s.n_candidates", "s.n_secrets", "s.findings", _digest(F.col("s.redacted")).alias("redacted_sha256"))
 
 
 def redact_documents(docs: DataFrame, findings: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """`docs` with every secret in `text` replaced by MASK, and `n_chars` (where there is one) counted anew."""
-    scan = scanner(fit(labelled_findings(docs) if findings is None else findings, path), path, findings is None)
+    scan = scanner(fit(training_findings(docs) if findings is None else findings, path), path)
     clean = docs.withColumn("text", scan(F.col("text").cast("string"))["redacted"])
     if "n_chars" not in docs.columns:
         return clean
