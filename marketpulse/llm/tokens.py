@@ -1,6 +1,6 @@
 """Words of many texts at once: byte offsets and 64-bit hashes as NumPy arrays, no loop over words.
 
-Texts arrive as Arrow arrays. They are handled in slices of a few MB, so that memory follows
+Texts arrive as Arrow arrays. They are handled in slices of half a MB, so that memory follows
 the slice (or the longest single text) and not the Arrow batch.
 """
 
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
