@@ -231,9 +231,11 @@ def _labels(signed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
         return left
 
     def starred(rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs (a, b) of each node and the centre that its bucket has in this turn."""
-        centres = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"))).alias("c"))
-        return rows.withColumnRenamed("node", "a").join(centres.select("key", "c.b"), "key").where("a != b").select("a", "b").distinct()
+        """Pairs (a, b) of each node and the centre that its bucket has in this turn, but for connected ones and for sizes too far apart."""
+        rows = rows if "part" in rows.columns else rows.withColumn("part", F.col("node"))
+        centres = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("part").alias("other"))).alias("c"))
+        met = rows.withColumnRenamed("node", "a").join(centres.select("key", "c.b", "c.m", "c.other"), "key")
+        return met.where(f"part != other and {PERCENT} * greatest(n, m) <= 100 * least(n, m)").select("a", "b").distinct()
 
     rows = buckets.select("key", "node", "n", "band")
     links = confirmed(starred(rows.where(F.col("band") < EARLY), 0))
