@@ -20,7 +20,9 @@ that only one component holds are skipped, and nodes of a shingle's largest comp
 paired with each other; a node meets nobody at a shingle where even the best partner there is
 out of reach. No link between different components is left out.
 
-Every link is confirmed on the full sets, which are read again for nodes in shared buckets.
+Every link is confirmed on the full sets, which are read again for nodes in shared buckets. Pairs
+already connected, of sizes too far apart, or with too few 16-bit marks of their hashes in common,
+can add no link and are left out before.
 
 Defined results: null or empty text and text without words has an empty set, is linked with
 nothing and is kept. Fewer than five words are one shingle. A null doc_id never is a
@@ -117,11 +119,13 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_hashes(sketch: np.ndarray) -> np.ndarray:
+    """One hash per band; its last bit tells the first EARLY bands."""
     parts = sketch.reshape(len(sketch), BINS // ROWS, ROWS)
     value = np.broadcast_to(np.arange(BINS // ROWS, dtype=np.uint64), parts.shape[:2])
     for j in range(ROWS):
         value = mixed(value ^ parts[:, :, j]) + np.uint64(j)
-    return value.view(np.int64)
+    early = np.arange(BINS // ROWS, dtype=np.uint64) < EARLY
+    return (value & ~np.uint64(1) | early).view(np.int64)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,13 +162,32 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+def _joined(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """`pairs` with the array `column` of both nodes, as x and y."""
+    left = sets.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    # many pairs have one centre, so few sets are needed on this side
+    right = sets.select(F.col("node").alias("b"), F.col(column).alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def _marked(sets: DataFrame) -> DataFrame:
+    """(node, marks) of the full sets: size and the distinct last 16 bits of the hashes, a quarter of their bytes."""
+    short = F.array_distinct(F.transform("items", lambda x: x.bitwiseAND(F.lit(0xFFFF)) - F.lit(0x8000)).cast("array<smallint>"))
+    return sets.select("node", F.struct(F.size("items").cast("long").alias("n"), short.alias("short")).alias("marks"))
+
+
+def _hopeful(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs that can be linked: hashes in common have marks in common, so the others bound the intersection."""
+    common = F.size(F.array_intersect("x.short", "y.short"))
+    most = F.least(*[F.col(f"{z}.n") - F.size(f"{z}.short") + common for z in "xy"])
+    bound = _joined(pairs, marks, "marks").select("a", "b", most.alias("inter"), (F.col("x.n") + F.col("y.n")).alias("both"))
+    return bound.where(f"{100 + PERCENT} * inter >= {PERCENT} * both").select("a", "b")
+
+
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, inter, total) of the written distinct pairs (a, b): sizes of intersection and union of the full sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-    # many pairs have one centre, so few sets are needed on this side
-    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
-    inter = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", inter.alias("inter"), (F.size("x") + F.size("y")).alias("both"))
+    inter = F.size(F.array_intersect("x", "y")).cast("long")
+    joined = _joined(pairs, sets, "items").select("a", "b", inter.alias("inter"), (F.size("x") + F.size("y")).alias("both"))
     return joined.select("a", "b", "inter", (F.col("both") - F.col("inter")).alias("total"))
 
 
@@ -207,19 +230,24 @@ def _labels(signed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     nodes = scratch.write(nodes, "nodes")
     keys = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     shared = scratch.write(keys.where("members > 1").select("key"), "shared")
-    entries = nodes.select("node", "n", "some_id", F.posexplode("bands").alias("band", "key"))
-    buckets = scratch.write(entries.join(shared, "key"), "buckets")
-    scratch.remove("nodes", "shared")
+    # narrow rows are shuffled; the other columns join the buckets that are left
+    entries = nodes.select("node", F.explode("bands").alias("key")).join(shared, "key")
+    met = scratch.write(entries, "met")
+    buckets = scratch.write(met.join(nodes.select("node", "n", "some_id"), "node"), "buckets")
+    scratch.remove("nodes", "shared", "met")
     # written, so that the planner knows its size and doesn't shuffle whole texts where it is small
     wanted = scratch.write(buckets.select("some_id").distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(wanted, F.coalesce("doc_id", F.lit(0)) == F.col("some_id"), "left_semi")
     sets = scratch.write(texts.mapInArrow(_full_sets, _SETS).groupBy("node").agg(F.first("items").alias("items")), "sets")
+    marks = scratch.write(_marked(sets), "marks")
     scratch.remove("wanted")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        links = scratch.write(_measured(scratch.write(pairs, "pairs"), sets).where(_LINKED).select("a", "b"), "links")
-        scratch.keep_last("links")
+        near = scratch.write(_hopeful(scratch.write(pairs, "pairs"), marks), "near")
         scratch.remove("pairs")
+        links = scratch.write(_measured(near, sets).where(_LINKED).select("a", "b"), "links")
+        scratch.keep_last("links")
+        scratch.remove("near")
         return links
 
     def undecided(rows: DataFrame, known: DataFrame, least: int) -> DataFrame:
@@ -237,8 +265,8 @@ def _labels(signed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
         met = rows.withColumnRenamed("node", "a").join(centres.select("key", "c.b", "c.m", "c.other"), "key")
         return met.where(f"part != other and {PERCENT} * greatest(n, m) <= 100 * least(n, m)").select("a", "b").distinct()
 
-    rows = buckets.select("key", "node", "n", "band")
-    links = confirmed(starred(rows.where(F.col("band") < EARLY), 0))
+    rows = buckets.select("key", "node", "n")
+    links = confirmed(starred(rows.where(F.col("key").bitwiseAND(F.lit(1)) == 1), 0))
     known = scratch.write(components(links, scratch), "known")
     scratch.remove("labels")
     for turn in range(1, TURNS + 1):
@@ -248,7 +276,7 @@ def _labels(signed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
         known = extended(known, confirmed(starred(rows, turn)), scratch)
     rows = undecided(rows.drop("part"), known, 3)
     known = extended(known, confirmed(_rare_pairs(rows, sets, scratch)), scratch)
-    scratch.remove("undecided", "rest", "hopeful", "sets", "links")
+    scratch.remove("undecided", "rest", "hopeful", "sets", "marks", "links")
     return known
 
 
