@@ -17,15 +17,15 @@ from .text import strip
 STORE_FORMAT = "yyyy-MM-dd HH:mm:ss"
 DEFAULT_REF_YEAR = 2025
 
-# Unit prefix -> (interval part, largest count that can still land in years 1..9999).
+# Unit prefix -> (unit of the step, largest count that can still land in years 1..9999).
 # The order decides which prefix is tried first (fixed values).
 UNITS = (
-    ("minute", "mins", 2_000_000_000),
-    ("hour", "hours", 100_000_000),
-    ("day", "days", 4_000_000),
-    ("week", "weeks", 600_000),
-    ("month", "months", 130_000),
-    ("year", "years", 11_000),
+    ("minute", "MINUTE", 2_000_000_000),
+    ("hour", "HOUR", 100_000_000),
+    ("day", "DAY", 4_000_000),
+    ("week", "WEEK", 600_000),
+    ("month", "MONTH", 130_000),
+    ("year", "YEAR", 11_000),
 )
 
 # strptime directive -> Spark datetime pattern (fixed values).
@@ -63,63 +63,49 @@ def store_text(moment: Column) -> Column:
     return F.date_format(moment, STORE_FORMAT)
 
 
-def _outcome(moment: Column, empty: Column, reject: Column, out: str) -> dict[str, Column]:
-    """The value and status columns; a missing moment rejects."""
-    dropped = reject | (~empty & moment.isNull())
-    return {
-        out: F.when(dropped, F.lit(None).cast("string"))
-        .when(empty, F.lit(""))
-        .otherwise(store_text(moment)),
-        f"{out}_status": F.when(dropped, "reject").when(empty, "empty").otherwise("ok"),
-    }
+def _with_outcome(df: DataFrame, moment: Column, status: Column, out: str) -> DataFrame:
+    """The status and value columns."""
+    value = F.when(F.col(f"{out}_status") == "ok", store_text(moment)).when(F.col(f"{out}_status") == "empty", "")
+    return df.withColumn(f"{out}_status", status).withColumn(out, value)
 
 
 def with_relative_date(df: DataFrame, text: str, as_of: str, out: str) -> DataFrame:
     """'N unit ago' counted back from as_of; month and year steps clamp to month end."""
-    words, unit, count, moment = (f"__{out}_{step}" for step in ("words", "unit", "count", "moment"))
-    first = F.try_element_at(F.col(words), F.lit(1))
-    second = F.try_element_at(F.col(words), F.lit(2))
-    digits = F.when(first.rlike(r"^[+-]?\d+(_\d+)*$"), F.replace(first, F.lit("_"), F.lit("")))
-
-    known = F
-    for prefix, *_ in UNITS:
-        known = known.when(second.startswith(prefix), prefix)
-    known = known.when(second.startswith("yesterday"), "yesterday").when(
-        second.startswith("today"), "today"
+    words, first, unit, count, moment = (f"__{out}_{step}" for step in ("words", "first", "unit", "count", "moment"))
+    prefixes = "|".join([*(prefix for prefix, *_ in UNITS), "yesterday", "today"])
+    digits = F.when(F.col(first).rlike(r"^[+-]?\d+(_\d+)*$"), F.replace(first, F.lit("_"), F.lit("")))
+
+    back = F
+    for prefix, part, limit in UNITS:
+        back = back.when(
+            (F.col(unit) == prefix) & F.col(count).between(-limit, limit),
+            F.timestamp_add(part, -F.col(count).cast("int"), F.col(as_of)),
+        )
+    back = back.when(F.col(unit) == "yesterday", F.timestamp_add("DAY", F.lit(-1), F.col(as_of)))
+    back = back.when(F.col(unit) == "today", F.col(as_of))
+    status = (
+        F.when(F.col(text).isNull(), "reject")
+        .when(~F.size(words).isin(2, 3), "empty")
+        .when(F.col(count).isNull(), "reject")
+        .when(F.col(unit).isNull(), "empty")
+        .when(F.col(moment).isNull(), "reject")
+        .otherwise("ok")
     )
-
-    steps = {
-        part: F.when((F.col(unit) == prefix) & (F.abs(F.col(count)) <= limit), F.col(count).cast("int"))
-        for prefix, part, limit in UNITS
-    }
-    in_reach = F.col(unit).isin("yesterday", "today")
-    for step in steps.values():
-        in_reach = in_reach | step.isNotNull()
-    steps = {part: F.coalesce(step, F.lit(0)) for part, step in steps.items()}
-    steps["days"] = F.when(F.col(unit) == "yesterday", 1).otherwise(steps["days"])
-    back = F.col(as_of) - F.make_interval(**steps)
-
-    countable = F.size(words).isin(2, 3)
-    return (
+    return _with_outcome(
         df.withColumn(words, F.split(strip(F.col(text)), r"(?U)\s+"))
         .withColumns(
             {
-                unit: known,
-                count: F.when(first.isin("a", "last"), F.lit(1)).otherwise(digits.try_cast("bigint")),
+                first: F.try_element_at(words, F.lit(1)),
+                unit: F.nullif(F.regexp_extract(F.try_element_at(words, F.lit(2)), f"^({prefixes})", 1), F.lit("")),
             }
         )
-        .withColumn(moment, F.when(in_reach, back))
-        .withColumn(moment, F.when(F.year(moment).between(1, 9999), F.col(moment)))
-        .withColumns(
-            _outcome(
-                F.col(moment),
-                empty=~countable | (F.col(count).isNotNull() & F.col(unit).isNull()),
-                reject=F.col(text).isNull() | (countable & F.col(count).isNull()),
-                out=out,
-            )
-        )
-        .drop(words, unit, count, moment)
-    )
+        .withColumn(count, F.when(F.col(first).isin("a", "last"), F.lit(1)).otherwise(digits.try_cast("bigint")))
+        .withColumn(moment, back)
+        .withColumn(moment, F.when(F.year(moment).between(1, 9999), F.col(moment))),
+        F.col(moment),
+        status,
+        out,
+    ).drop(words, first, unit, count, moment)
 
 
 def _pieces(fmt: str) -> list[str]:
@@ -154,28 +140,19 @@ def with_absolute_date(
     pattern = _jvm_pattern(fmt)
     shaped = F.when(F.col(text).rlike(_shape(fmt)), F.col(text))
     moment, this_year = f"__{out}_moment", f"__{out}_this_year"
-    never = F.lit(False)
     if "%Y" in fmt:
         read = F.try_to_timestamp(shaped, F.lit(pattern)).cast("timestamp_ntz")
-        return (
-            df.withColumn(moment, read)
-            .withColumns(_outcome(F.col(moment), empty=never, reject=never, out=out))
-            .drop(moment)
-        )
+        return _with_outcome(df.withColumn(moment, read), F.col(moment), F.when(F.col(moment).isNull(), "reject").otherwise("ok"), out).drop(moment)
 
-    def in_year(year: int) -> Column:
-        dated = F.concat(F.lit(f"{year:04d} "), shaped)
-        return F.try_to_timestamp(dated, F.lit(f"yyyy {pattern}")).cast("timestamp_ntz")
-
-    # The two years differ in leap days only, which the 1900 reading has already excluded.
-    readable = in_year(1900).isNotNull()
-    chosen = F.when(F.col(this_year) < F.col(as_of), F.col(this_year)).otherwise(in_year(ref_year - 1))
-    return (
-        df.withColumn(this_year, F.when(readable, in_year(ref_year)))
-        .withColumn(moment, F.when(F.col(this_year).isNotNull(), chosen))
-        .withColumns(_outcome(F.col(moment), empty=F.col(moment).isNull(), reject=never, out=out))
-        .drop(this_year, moment)
-    )
+    # Years differ in leap days only, which the reading in 1900 excludes: the text is read once.
+    read = F.try_to_timestamp(F.concat(F.lit("1900 "), shaped), F.lit(f"yyyy {pattern}")).cast("timestamp_ntz")
+
+    def years_after(moment: Column, years: int) -> Column:
+        return moment + F.make_interval(years=F.lit(years))
+
+    chosen = F.when(F.col(this_year) < F.col(as_of), F.col(this_year)).otherwise(years_after(F.col(this_year), -1))
+    dated = df.withColumn(this_year, years_after(read, ref_year - 1900)).withColumn(moment, F.when(F.col(this_year).isNotNull(), chosen))
+    return _with_outcome(dated, F.col(moment), F.when(F.col(moment).isNull(), "empty").otherwise("ok"), out).drop(this_year, moment)
 
 
 def with_iso_date(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -187,20 +164,17 @@ def with_iso_date(df: DataFrame, text: str, out: str) -> DataFrame:
     shaped = F.when(F.col(text).rlike(shape), F.col(text))
     wall, instant = f"__{out}_wall", f"__{out}_instant"
     local = F.try_to_timestamp(F.substring(shaped, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
-    return (
-        df.withColumns(
-            {
-                instant: F.coalesce(
-                    F.try_to_timestamp(shaped, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
-                    F.try_to_timestamp(shaped, F.lit("yyyy-MM-dd'T'HH:mm:ssXX")),
-                ),
-                wall: local.cast("timestamp_ntz"),
-            }
-        )
-        .withColumns(_outcome(F.col(wall), empty=F.lit(False), reject=F.col(instant).isNull(), out=out))
-        .withColumn(f"{out}_utc", store_text(F.col(instant)))
-        .drop(wall, instant)
+    read = df.withColumns(
+        {
+            instant: F.coalesce(
+                F.try_to_timestamp(shaped, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX")),
+                F.try_to_timestamp(shaped, F.lit("yyyy-MM-dd'T'HH:mm:ssXX")),
+            ),
+            wall: local.cast("timestamp_ntz"),
+        }
     )
+    dated = _with_outcome(read, F.col(wall), F.when(F.col(instant).isNull() | F.col(wall).isNull(), "reject").otherwise("ok"), out)
+    return dated.withColumn(f"{out}_utc", store_text(F.col(instant))).drop(wall, instant)
 
 
 def display_time(moment: Column, zone: str = "Asia/Kolkata") -> Column:

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from marketpulse.operators import extract
@@ -61,3 +63,34 @@ def test_references_cut_before_their_semicolon_are_text():
     assert found == ["a &&amp", 'b "&quot', "c &lt; &lt", "d &am", "e & f '"]
     listing = '<div class="z4rs2b"><div class="Yfwt5">a &amp;&amp</div></div>'
     assert extract.find_items(listing, sites.GOOGLE_FINANCE)[0]["headline"] == "a &&"
+
+
+def test_plain_pages_are_read_by_form_as_the_parser_reads_them():
+    rng = random.Random(5)
+    parts = [
+        '<div class="z4rs2b">', "</div>", '<div class="Yfwt5">', '<div class="Adak">', '<div class="sfyJob">', '<a href="/x">', '<a href="/y?a=1&amp;b=2">',
+        '<a href="">', "<a\nhref='q'>", "</a>", "<p>", "</p>", "<br/>", "one", "two &amp; three", "&lt", "a < b", "<!-- c -->", '<!-- href="a--b" -->',
+        '<script>var t="</div>";</script>', "<title>t &amp;</title>", "<title><b></title>", "<textarea></div></textarea>", '<article class="IFHyqb DeXSAc">',
+        '<a class="JtKRv" href=".z">', '<div class="vr1PYe">', '<time datetime="d1">', '<time datetime="d2">', "</time>", "</article>", "<DIV>", "&", "\x01", "\0", "<h1>", "</h1>",
+    ]
+    for rule in (sites.GOOGLE_FINANCE, sites.GOOGLE_NEWS, sites.ARTICLE_PAGE):
+        plain, by_parser = extract._Plain(rule), extract._Finder
+        read = 0
+        for _ in range(4000):
+            page = "".join(rng.choices(parts, k=rng.randint(1, 12)))
+            found = plain.items(page)
+            if found is not None:
+                finder = by_parser(rule)
+                finder.feed(page)
+                finder.close()
+                assert found == finder.items, page
+                read += 1
+        assert read > 400
+
+
+def test_pages_of_one_form_are_walked_once():
+    page = '<div class="z4rs2b"><a href="/ev/{0}"><div class="sfyJob">S</div><div class="Yfwt5">H {0}</div><div class="Adak">{0} days ago</div></a></div>'
+    plain = extract._Plain(sites.GOOGLE_FINANCE)
+    found = [plain.items(page.format(i))[0] for i in range(500)]
+    assert found == [{"link": f"/ev/{i}", "source": "S", "headline": f"H {i}", "date": f"{i} days ago"} for i in range(500)]
+    assert len(plain.forms) == 1
