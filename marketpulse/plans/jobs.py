@@ -30,7 +30,7 @@ def collect_news(
     found = A.drop_without_headline(extract.usable(items)).withColumn(
         "arrival_seq", visit * F.lit(1 << 32) + F.col("item_pos")
     )
-    store.insert_articles(found, as_of)
+    store.insert_articles(found, as_of, written=True)
     return extract.rejected(items)
 
 

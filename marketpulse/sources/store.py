@@ -117,6 +117,11 @@ class ArticleStore:
         known = [re.fullmatch(r"folders=(\d+)", s.getPath().getName()) for s in fs.listStatus(location)]
         return path, next((int(m.group(1)) for m in known if m), self.folders)
 
+    def _holds_rows(self, path: str) -> bool:
+        """Whether a table of articles has any folder."""
+        location, fs = self._path(path)
+        return any(s.getPath().getName().startswith("folders=") for s in fs.listStatus(location))
+
     def _in_folders(self, path: str, buckets: Sequence[int]) -> DataFrame:
         """The articles of some folders; the others aren't listed for tasks or read."""
         stored = self.spark.read.schema(f"{ARTICLE}, folders int, bucket int").parquet(path)
@@ -135,20 +140,23 @@ class ArticleStore:
     def get_ticker_metadata(self) -> DataFrame:
         return self.read("ticker_meta", TICKER_META)
 
-    def insert_articles(self, batch: DataFrame, as_of: Column, has_sentiment: bool = False) -> int:
+    def insert_articles(self, batch: DataFrame, as_of: Column, has_sentiment: bool = False, written: bool = False) -> int:
         """Upsert a batch; its rows without a required column are kept aside and counted.
 
-        The batch is written first, so extraction and scoring run once. Rejected rows go to a
+        The batch is written first, so extraction and scoring run once, unless it is ``written``,
+        a cheap projection of a stored table. Rejected rows go to a
         folder of their own below ``rejects/article_data``; their number is returned.
         """
-        landed = materialized(batch, "landed")
+        landed = batch if written else materialized(batch, "landed")
         rejects = self._set_aside(ARTICLES, upsert.split_rejects(landed)[1])
         prepared = materialized(upsert.prepare_batch(landed, as_of, has_sentiment), "batch")
         path, folders = self._newest_articles()
         touched = [r.bucket for r in prepared.select(self._bucket(folders).alias("bucket")).distinct().collect()]  # at most one per folder
-        if touched:
+        if touched and self._holds_rows(path):
             merged = upsert.merge_articles(self._in_folders(path, touched), prepared)
             self._write_folders(materialized(merged, "merged"), path, folders)
+        elif touched:  # nothing is read, so nothing needs to be kept apart from what is replaced
+            self._write_folders(upsert.merge_articles(self.spark.createDataFrame([], ARTICLE), prepared), path, folders)
         return rejects
 
     def forget_articles(self, before: str) -> int:
