@@ -97,6 +97,29 @@ def trailing_dividends(prices: DataFrame, dividends: DataFrame) -> DataFrame:
     )
 
 
+def with_facts_and_dividends(
+    prices: DataFrame, known: DataFrame, values: Sequence[str], known_date: str, dividends: DataFrame
+) -> DataFrame:
+    """``asof`` and ``trailing_dividends`` in one merged series, which is shuffled and sorted by day once."""
+    packed = F.struct(F.col(known_date).alias("asof_date"), *values)
+    facts = known.select("ticker", F.col(known_date).alias("date"), packed.alias("__known"))
+    paid = dividends.select("ticker", F.col("action_date").alias("date"), "amount")
+    merged = prices.withColumn("__row", F.lit(True)).unionByName(facts, allowMissingColumns=True).unionByName(paid, allowMissingColumns=True)
+    # On equal dates the facts come first.
+    order = Window.partitionBy("ticker").orderBy("date", F.col("__row").asc_nulls_first())
+    carried = F.last("__known", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    year = F.expr(
+        "sum(amount) OVER (PARTITION BY ticker ORDER BY date "
+        "RANGE BETWEEN INTERVAL 1 YEAR PRECEDING AND CURRENT ROW)"
+    )
+    return (
+        merged.withColumn("__known", carried)
+        .withColumn("dividends_1y", F.coalesce(year, F.lit(0).cast("decimal(20,4)")))
+        .where("__row")
+        .select(*prices.columns, "dividends_1y", "__known.*")
+    )
+
+
 def valuation_ratios(rows: DataFrame) -> DataFrame:
     """P/E, P/B and dividend yield; null where the denominator is not positive."""
 
@@ -119,7 +142,7 @@ def computed_metrics(
     """The stored metrics per ticker and day: ratios, growth, beta and 30-day volatility."""
     grown = growth_yoy(fundamentals, ["revenue", "eps"])
     facts = ["eps", "book_value_per_share", "revenue_growth_yoy", "eps_growth_yoy"]
-    known = valuation_ratios(asof(trailing_dividends(prices, dividends), grown, facts, "quarter"))
+    known = valuation_ratios(with_facts_and_dividends(prices, grown, facts, "quarter", dividends))
     close = F.col("close").cast("double")
     change = F.try_divide(close, F.lag(close).over(Window.partitionBy("ticker").orderBy("date"))) - 1
     risky = with_rolling_volatility(known.withColumn("__ret", change), "__ret")

@@ -617,7 +617,7 @@ FROM facts LEFT JOIN paid USING (ticker, date)""",
 def valuation_ratios(v: Views) -> DataFrame:
     closes = v.prices().select("ticker", "date", "close")
     dividends = v.actions().where("amount is not null")
-    known = Q.asof(Q.trailing_dividends(closes, dividends), v.fundamentals(), ["eps", "book_value_per_share"], "quarter")
+    known = Q.with_facts_and_dividends(closes, v.fundamentals(), ["eps", "book_value_per_share"], "quarter", dividends)
     return Q.valuation_ratios(known).select("ticker", "date", r6("pe_ratio"), r6("pb_ratio"), r6("dividend_yield"))
 
 
@@ -698,9 +698,10 @@ LEFT JOIN (SELECT ticker, date, CASE WHEN count(ret) OVER w = 30 THEN stddev_sam
     )
 )
 def computed_metrics(v: Views) -> DataFrame:
+    v.write_closes()
     market = market_of(index_returns(index_values_of(v, picked(v))))
-    betas = risk.beta(risk.with_benchmark(prices.daily_returns(v.prices()), market))
-    closes = v.prices().select("ticker", "date", "close")
+    closes = v.closes().select("ticker", "date", "close")
+    betas = risk.beta(risk.with_benchmark(prices.daily_returns(closes), market))
     dividends = v.actions().where("amount is not null")
     out = Q.computed_metrics(closes, v.fundamentals(), dividends, betas)
     return out.select("ticker", "date", *(r6(c) for c in out.columns[2:]))

@@ -17,6 +17,7 @@ from ..functions.dates import store_text
 from ..functions.scores import compound
 from ..operators.indices import free_float_mcap
 from ..operators.prices import daily_bars
+from ..session import materialized
 from .tables import broadcast_if_small, spread_if_small, table
 
 SCORE_MODULUS = 3001
@@ -29,6 +30,7 @@ class Views:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._closes: DataFrame | None = None
 
     def _table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)
@@ -153,6 +155,16 @@ class Views:
         exact = {c: (F.col(c) / F.lit(10000.0)).cast("decimal(12,4)") for c in ("open", "high", "low", "close")}
         return bars.withColumns({**exact, "turnover": (F.col("turnover") / F.lit(100.0)).cast("decimal(20,2)")})
 
+    def write_closes(self) -> None:
+        """Write the closes, for a query that reads them several times: trades are then aggregated once."""
+        self._closes = materialized(self.closes(), "closes")
+
+    def closes(self, only: DataFrame | None = None) -> DataFrame:
+        """Close and volume per ticker and day."""
+        if self._closes is None:
+            return self.prices(only).select("ticker", "date", "close", "volume")
+        return self._closes if only is None else self._closes.join(only, "ticker", "left_semi")
+
     def series_prices(self) -> DataFrame:
         """Five dense daily series from the events, shaped as index history."""
         price = (F.col("value") + 1.0).cast("decimal(12,4)")
@@ -187,8 +199,7 @@ class Views:
         close = F.col("close")
         mcap = (F.col("total_shares").cast("decimal(15,0)") * close).cast("decimal(30,4)")
         return (
-            self.prices(only)
-            .select("ticker", "date", "close", "volume")
+            self.closes(only)
             .join(broadcast_if_small(self.shares(), self._path("supplier")), "ticker")
             .select(
                 "ticker",

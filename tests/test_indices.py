@@ -187,3 +187,14 @@ def test_price_range_reaches_the_scan(spark, small):
     plan = wanted._jdf.queryExecution().executedPlan().toString()
     pushed = plan.split("PushedFilters: [", 1)[1]
     assert "In(l_suppkey" in pushed and "GreaterThanOrEqual(l_shipdate" in pushed
+
+
+def test_computed_metrics_aggregates_trades_once(spark, small, monkeypatch):
+    from marketpulse.plans import REGISTRY
+    from marketpulse.sources import views
+
+    made = []
+    bars = views.daily_bars
+    monkeypatch.setattr(views, "daily_bars", lambda trades: made.append(1) or bars(trades))
+    REGISTRY["computed_metrics"].build(views.Views(spark, small))
+    assert len(made) == 1
