@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 from ..session import materialized
 from .graphs import components, extended
 from .scratch import Scratch
+from .screens import flagged, screened
 from .tokens import grams, mixed, slices, tokens
 
 WORDS = 5
@@ -163,10 +164,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """`pairs` with the array `column` of both nodes, as x and y."""
-    left = sets.select(F.col("node").alias("a"), F.col(column).alias("x"))
-    # many pairs have one centre, so few sets are needed on this side
-    right = sets.select(F.col("node").alias("b"), F.col(column).alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
+    """The written `pairs` with the array `column` of both nodes, as x and y."""
+    left, right = (screened(sets.select(F.col("node").alias(n), F.col(column).alias(z)), [n], pairs, [n]) for n, z in ("ax", "by"))
     return pairs.join(left, "a").join(right, "b")
 
 
@@ -231,14 +230,19 @@ def _labels(signed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     keys = nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     shared = scratch.write(keys.where("members > 1").select("key"), "shared")
     # narrow rows are shuffled; the other columns join the buckets that are left
-    entries = nodes.select("node", F.explode("bands").alias("key")).join(shared, "key")
+    entries = screened(nodes.select("node", F.explode("bands").alias("key")), ["key"], shared, ["key"]).join(shared, "key")
     met = scratch.write(entries, "met")
     buckets = scratch.write(met.join(nodes.select("node", "n", "some_id"), "node"), "buckets")
     scratch.remove("nodes", "shared", "met")
-    # written, so that the planner knows its size and doesn't shuffle whole texts where it is small
+    # written, so that the planner knows its size
     wanted = scratch.write(buckets.select("some_id").distinct(), "wanted")
-    texts = docs.select("doc_id", "text").join(wanted, F.coalesce("doc_id", F.lit(0)) == F.col("some_id"), "left_semi")
-    sets = scratch.write(texts.mapInArrow(_full_sets, _SETS).groupBy("node").agg(F.first("items").alias("items")), "sets")
+    some_id = F.coalesce("doc_id", F.lit(0))
+    texts = screened(docs.select("doc_id", "text"), [some_id], wanted, ["some_id"]).join(wanted, some_id == F.col("some_id"), "left_semi")
+    sets = scratch.write(texts.mapInArrow(_full_sets, _SETS), "sets")
+    # a node comes twice only where a doc_id does; then one of its sets is taken
+    if not sets.groupBy("node").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").isEmpty():
+        sets = scratch.write(sets.groupBy("node").agg(F.first("items").alias("items")), "sets")
+        scratch.keep_last("sets")
     marks = scratch.write(_marked(sets), "marks")
     scratch.remove("wanted")
 
@@ -333,7 +337,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     keyed = keyed.select("doc", doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), *_text_key(text))
     names = ["none", "id", "t1", "t2"]
-    others = keyed.join(marked, names, "left_anti").select("doc")
-    again = keyed.join(marked.where("one_stays"), names, "left_semi")
-    once = again.groupBy(*names).agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc")
-    return others.unionByName(once).select("doc.*")
+    # most documents stay, and aren't shuffled
+    keyed = flagged(keyed, names, marked, names)
+    met = keyed.where("may").join(marked, names, "left")
+    once = met.where("one_stays").groupBy(*names).agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc")
+    return keyed.where("not may").select("doc").unionByName(met.where("one_stays is null").select("doc")).unionByName(once).select("doc.*")
